@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relata.llm import pii, quality
+from relata.llm import bpe, pii, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,11 +16,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_bpe_transducer(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode_documents(docs, tokenizer or tokenizer_path(), keep=["doc_id"], ids=False)
+
+
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
@@ -28,6 +39,7 @@ def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op2_quality_rules": op2_quality_rules,
+        "op4_bpe_transducer": op4_bpe_transducer,
         "op9_pii_surrogates": op9_pii_surrogates,
     }
 
