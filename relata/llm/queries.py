@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relata.llm import bpe, decontaminate, pii, quality
+from relata.llm import bpe, decontaminate, minhash, pii, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,12 +41,17 @@ def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_quality_rules": op2_quality_rules,
         "op4_bpe_transducer": op4_bpe_transducer,
         "op5_decontamination": op5_decontamination,
         "op9_pii_surrogates": op9_pii_surrogates,
+        "op10_near_duplicates": op10_near_duplicates,
     }
 
 
