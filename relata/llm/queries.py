@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relata.llm import bpe, decontaminate, minhash, pii, quality
+from relata.llm import bpe, decontaminate, minhash, pii, quality, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+
+
 def op4_bpe_transducer(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode_documents(docs, tokenizer or tokenizer_path(), keep=["doc_id"], ids=False)
@@ -48,6 +52,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op2_quality_rules": op2_quality_rules,
+        "op3_suffix_array_dedup": op3_suffix_array_dedup,
         "op4_bpe_transducer": op4_bpe_transducer,
         "op5_decontamination": op5_decontamination,
         "op9_pii_surrogates": op9_pii_surrogates,
