@@ -20,10 +20,11 @@ import hashlib
 import json
 import os
 import shutil
+import sys
 import tempfile
 import unicodedata
 import uuid
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from functools import cache, lru_cache
 from heapq import heapify, heappop, heappush
@@ -35,12 +36,13 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relata.llm.arrow import add_columns, strings
+from relata.llm.arrow import LETTERS, LOWER, add_columns, find_words, strings, text_blocks
 
 LEXICON_WORDS = 50_000
 #: Entries of a task's summary; a word's count is too low by at most the task's tokens / SUMMARY.
 SUMMARY = 50_000
-MEMO_WORDS = 400_000
+MEMO_WORDS = 500_000
+_SMALL_ENDIAN = sys.byteorder == "little" and array("I").itemsize == 4
 
 
 def _byte_chars() -> list[str]:
@@ -62,8 +64,14 @@ class Rules:
         self.tokens = {i: t for t, i in self.vocab.items()} | {a["id"]: a["content"] for a in spec["added_tokens"]}
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.ranks = {(a, b): r for r, (a, b) in enumerate(pairs)}
+        pairs = list(pairs)
+        #: Rank of a pair of ids (first << 20 | second), and the id that a merge of each rank makes.
+        self.ranks = {self.vocab[a] << 20 | self.vocab[b]: r for r, (a, b) in enumerate(pairs)}
+        self.made = [self.vocab[a + b] for a, b in pairs]
+        self.none = len(pairs)
         self.chars = _byte_chars()
+        self.byte_ids = [self.vocab[c] for c in self.chars]
+        self.last_ids = {self.vocab[c]: self.vocab[c + self.end] for c in self.chars}
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.find = regex.compile(pattern).findall
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
@@ -76,40 +84,46 @@ class Rules:
         return self.find(text.lower())
 
     def merge(self, word: str) -> list[int]:
-        """Ids of a pre-token, by merges alone."""
-        parts = [self.chars[b] for b in word.encode()]
+        """Ids of a pre-token, by merges alone: the pair of lowest rank first, the leftmost of equal ones."""
+        parts = [self.byte_ids[b] for b in word.encode()]
         if not parts:
-            return []
-        parts[-1] += self.end
-        ranks, none = self.ranks, len(self.ranks)
+            return parts
+        parts[-1] = self.last_ids[parts[-1]]
+        get, none = self.ranks.get, self.none
         if len(parts) > 48:
-            parts = self._merge_long(parts)
-        while len(parts) > 1:
-            rank, at = min((ranks.get(p, none), i) for i, p in enumerate(zip(parts, parts[1:])))
+            return self._merge_long(parts)
+        pairs = [get(a << 20 | b, none) for a, b in zip(parts, parts[1:])]
+        while pairs:
+            rank = min(pairs)
             if rank == none:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.vocab[p] for p in parts]
-
-
-    def _merge_long(self, parts: list[str]) -> list[str]:
+            at = pairs.index(rank)
+            parts[at : at + 2] = [new] = [self.made[rank]]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = get(parts[at - 1] << 20 | new, none)
+            if at < len(pairs):
+                pairs[at] = get(new << 20 | parts[at + 1], none)
+        return parts
+
+    def _merge_long(self, parts: list[int]) -> list[int]:
         """The same merges with a queue of pairs: a long word doesn't take quadratic time."""
         left, right = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
-        rank = lambda i: self.ranks.get((parts[i], parts[right[i]])) if right[i] < len(parts) else None
+        rank = lambda i: self.ranks.get(parts[i] << 20 | parts[right[i]]) if right[i] < len(parts) else None
         queue = [(r, i, parts[i], parts[right[i]]) for i in range(len(parts)) if (r := rank(i)) is not None]
         heapify(queue)
         while queue:
-            _, i, a, b = heappop(queue)
+            r, i, a, b = heappop(queue)
             j = right[i]
             if parts[i] != a or j >= len(parts) or parts[j] != b:
                 continue
-            parts[i], parts[j], right[i] = a + b, "", right[j]
+            parts[i], parts[j], right[i] = self.made[r], -1, right[j]
             if right[j] < len(parts):
                 left[right[j]] = i
             for k in (left[i], i):
                 if k >= 0 and (r := rank(k)) is not None:
                     heappush(queue, (r, k, parts[k], parts[right[k]]))
-        return [p for p in parts if p]
+        return [p for p in parts if p >= 0]
 
 
 def compile_lexicon(entries: dict[bytes, list[int]], path: str) -> None:
@@ -201,40 +215,44 @@ class Encoder:
         self.shown = {i: t.encode() for i, t in rules.tokens.items()}
 
     def _made(self, ids: list[int]) -> tuple[bytes, bytes]:
-        return np.array(ids, "<u4").tobytes(), b" ".join([self.shown[i] for i in ids])
+        return array("I", ids).tobytes() if _SMALL_ENDIAN else np.array(ids, "<u4").tobytes(), b" ".join([self.shown[i] for i in ids])
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: set[str]) -> None:
         """Puts the ids of all words into the memo."""
-        new = list(dict.fromkeys(w for w in words if w not in self.memo))
+        new = list(words.difference(self.memo))
         if len(self.memo) + len(new) > MEMO_WORDS:
             self.memo.clear()
-            new = list(dict.fromkeys(words))
-        at = self.lexicon.ordinals([w.encode() for w in new]) if self.lexicon and new else [-1] * len(new)
-        for word, o in zip(new, at):
-            if o >= 0:
-                ids = self.lexicon.ids[self.lexicon.offsets[o] : self.lexicon.offsets[o + 1]].tolist()
-            else:
-                ids = self.rules.merge(word)
-            self.memo[word] = self._made(ids)
-
-    def pieces(self, text: str) -> list[str | int]:
-        """Pre-tokens, and the ids of special tokens."""
+            new = list(words)
+        at = self.lexicon.ordinals([w.encode() for w in new]) if self.lexicon and new else np.full(len(new), -1)
+        known = np.flatnonzero(at >= 0)
+        if len(known):
+            ids, offsets = self.lexicon.ids, self.lexicon.offsets
+            for k, a, b in zip(known.tolist(), offsets[at[known]].tolist(), offsets[at[known] + 1].tolist()):
+                self.memo[new[k]] = self._made(ids[a:b].tolist())
+        merge, special = self.rules.merge, self.rules.special
+        for k in np.flatnonzero(at < 0).tolist():
+            word = new[k]
+            self.memo[word] = self._made([special[word]] if word in special else merge(word))
+
+    def pieces(self, text: str) -> list[str]:
+        """Pre-tokens and special tokens; no pre-token looks like a special one."""
         special = self.rules.special
         if self.rules.split is None or not any(s in text for s in special):
             return self.rules.words(text)
-        return [w for part in self.rules.split(text) for w in ([special[part]] if part in special else self.rules.words(part))]
+        return [w for part in self.rules.split(text) for w in ([part] if part in special else self.rules.words(part))]
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """(ids as little-endian unsigned 32-bit integers, decoded text in UTF-8) of each text."""
-        pieces, size, n = [], 0, 0
+        pieces, size = [], 0
         for k, text in enumerate(texts):
             pieces.append(self.pieces(text))
             size += len(pieces[-1])
-            if size > MEMO_WORDS // 4 or k == len(texts) - 1:
-                self.learn([w for p in pieces for w in p if isinstance(w, str)] if any(type(w) is int for p in pieces for w in p) else [w for p in pieces for w in p])
+            if size > 1 << 18 or k == len(texts) - 1:
+                self.learn(set().union(*pieces))
+                get = self.memo.__getitem__
                 for own in pieces:
-                    got = [self.memo[w] if type(w) is str else self._made([w]) for w in own]
-                    yield b"".join([g[0] for g in got]), b" ".join([g[1] for g in got])
+                    ids, shown = zip(*map(get, own)) if own else ((), ())
+                    yield b"".join(ids), b" ".join(shown)
                 pieces, size = [], 0
 
 
@@ -249,29 +267,46 @@ def _encoder(rules: str, lexicon: str) -> Encoder:
     return Encoder(_rules(rules), Lexicon(SparkFiles.get(lexicon)))
 
 
-def _pruned(counts: Counter, most: int) -> Counter:
-    """A Misra-Gries summary of `most` entries: all counts less the first one that has no place."""
-    if len(counts) <= most:
-        return counts
-    cut_at = counts.most_common(most + 1)[-1][1]
-    return Counter({w: c - cut_at for w, c in counts.items() if c > cut_at})
+class Summary:
+    """Misra-Gries summary of words: at most `most` entries; a count is too low by what was taken off at most."""
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self.hash, self.count, self.word = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, object)
+
+    def add(self, hashes: np.ndarray, counts: np.ndarray, words: np.ndarray) -> None:
+        every = np.concatenate([self.hash, hashes])
+        self.hash, first, inverse = np.unique(every, return_index=True, return_inverse=True)
+        self.count = np.bincount(inverse, np.concatenate([self.count, counts]), len(self.hash)).astype(np.int64)
+        self.word = np.concatenate([self.word, words])[first]
+        if len(self.hash) > 4 * self.most:
+            self.prune()
+
+    def prune(self) -> None:
+        """Takes the largest count that has no place off all counts."""
+        if len(self.hash) > self.most:
+            self.count = self.count - np.partition(self.count, -self.most - 1)[-self.most - 1]
+            keep = self.count > 0
+            self.hash, self.count, self.word = self.hash[keep], self.count[keep], self.word[keep]
 
 
-def word_counts(docs: DataFrame, rules: str, text: str = "text") -> DataFrame:
-    """(word, n): the frequent pre-tokens of all texts."""
+def word_counts(docs: DataFrame, text: str = "text", most: int = SUMMARY) -> DataFrame:
+    """(word, n): the frequent runs of letters of all texts, A-Z lower-cased; binary, as UTF-8."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        words = _rules(rules).words
+        summary = Summary(most)
         for batch in batches:
-            for t in strings(batch.column(0)):
-                counts.update(words(t))
-                if len(counts) > 4 * SUMMARY:
-                    counts = _pruned(counts, SUMMARY)
-        counts = _pruned(counts, SUMMARY)
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+            for _, _, data, offsets in text_blocks(batch.column(0), 4 << 20):
+                w = find_words(data, offsets, LETTERS)
+                hashes, first, counts = np.unique(w.hash, return_index=True, return_counts=True)
+                low = LOWER[data].tobytes()
+                words = np.empty(len(first), object)
+                words[:] = [low[a:b] for a, b in zip(w.start[first].tolist(), w.end[first].tolist())]
+                summary.add(hashes, counts, words)
+        summary.prune()
+        yield pa.RecordBatch.from_arrays([pa.array(summary.word.tolist(), pa.binary()), pa.array(summary.count)], ["word", "n"])
 
-    return docs.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(text).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def ship_lexicon(docs: DataFrame, path: str, text: str = "text", size: int = LEXICON_WORDS) -> tuple[str, str]:
@@ -285,14 +320,16 @@ def ship_lexicon(docs: DataFrame, path: str, text: str = "text", size: int = LEX
     back = {c: b for b, c in enumerate(rules.chars)}
     whole = (t.removesuffix(rules.end) for t in rules.vocab if t.endswith(rules.end))
     words = {bytes(back[c] for c in t) for t in whole if t}
-    frequent = word_counts(docs, rules_name, text).orderBy(F.desc("n"), "word").limit(size).collect()  # at most `size`
-    words |= {r.word.encode() for r in frequent}
+    frequent = word_counts(docs, text).where(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(size).collect()  # at most `size`
+    words |= {bytes(r.word) for r in frequent}
     entries = {}
     for w in words:
         try:
-            entries[w] = rules.merge(w.decode())
+            word = w.decode()
         except UnicodeDecodeError:  # part of a character: no word
             continue
+        if rules.words(word) == [word]:
+            entries[w] = rules.merge(word)
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     compile_lexicon(entries, f"{folder}/{name}")
     sc.addFile(f"{folder}/{name}")
