@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relata.llm import bpe, decontaminate, minhash, pii, quality, substrings
+from relata.llm import bpe, decontaminate, html, licenses, minhash, pii, quality, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,14 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]).drop("spans")
+
+
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
@@ -55,6 +63,8 @@ def queries() -> dict[str, Query]:
         "op3_suffix_array_dedup": op3_suffix_array_dedup,
         "op4_bpe_transducer": op4_bpe_transducer,
         "op5_decontamination": op5_decontamination,
+        "op6_html_main_text": op6_html_main_text,
+        "op8_license_scan": op8_license_scan,
         "op9_pii_surrogates": op9_pii_surrogates,
         "op10_near_duplicates": op10_near_duplicates,
     }
