@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relata.llm import bpe, decontaminate, html, licenses, minhash, pii, quality, substrings
+from relata.llm import bpe, decontaminate, html, licenses, minhash, pii, quality, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,18 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def fold(of: int, doc_id: str = "doc_id") -> Column:
+    """crc32 of the id as text, modulo `of`; null ids are in fold 0."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % of, F.lit(0))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), fold(3) != 1)
+    out = toxicity.score_toxicity(docs, model, keep=["doc_id"])
+    return out.select("doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -59,6 +71,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_quality_rules": op2_quality_rules,
         "op3_suffix_array_dedup": op3_suffix_array_dedup,
         "op4_bpe_transducer": op4_bpe_transducer,
