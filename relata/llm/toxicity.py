@@ -38,7 +38,7 @@ LEXICON = 200_000
 PREFIXES = (4, 5, 6)
 #: Strength of a prior, in tokens.
 PRIOR = 4.0
-Z = 3.0
+Z = 3.5
 DRIFT = 1.0
 E_VALUE = 0.01
 #: Constant K of the extreme-value law.
@@ -117,11 +117,20 @@ def maximal_segments(places: np.ndarray, scores: np.ndarray, drift: float = DRIF
 
 
 def _measures(segments: list[tuple[int, int, float]], n: int, rate: float) -> tuple[list[tuple[int, int, float, float]], float, float]:
-    """Passages with their E-values; the best segment's surplus over chance; the sum of all passages' surpluses."""
+    """Passages with their E-values; the least likely count of high segments, as -log of its chance; the log of all surpluses.
+
+    By chance, the segments of at least some score are Poisson, their mean the E-value of that score. So
+    many segments that are nothing special alone count in a long text.
+    """
     chance = np.log(SHAPE * max(n, 1))
     surplus = [rate * s - chance for *_, s in segments]
     passages = [(a, b, s, float(np.exp(-x))) for (a, b, s), x in zip(segments, surplus) if x >= -np.log(E_VALUE)]
-    return passages, max([0.0, *surplus]), float(np.log1p(sum(x for x in surplus if x > 0)))
+    best = 0.0
+    for r, x in enumerate(sorted(surplus, reverse=True), 1):
+        e = np.exp(-x)
+        if e < r:  # Chernoff bound of r or more where e are expected
+            best = max(best, r * (np.log(r) + x) - r + e)
+    return passages, float(best), float(np.log1p(sum(x for x in surplus if x > 0)))
 
 
 def _counts(rows: DataFrame) -> DataFrame:
@@ -174,10 +183,10 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
 class Model:
     lexicon: Lexicon
     rate: float  # lambda
-    weights: np.ndarray  # of 1, best surplus, log of summed surpluses
+    weights: np.ndarray  # of 1 and the two measures
 
     def score(self, best: float, summed: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.weights @ np.array([1.0, best, summed]), -30, 30))))
+        return float(1 / (1 + np.exp(-np.clip(self.weights @ np.array([1.0, np.log1p(best), summed]), -30, 30))))
 
 
 def _rate(positive: list[float], n_tokens: int) -> float:
@@ -233,7 +242,8 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, text: str = "te
         share = shares.get(1, 0) / max(1, sum(shares.values()))
         return Model(lexicon, 1.0, np.array([np.log(max(share, 1e-13) / max(1 - share, 1e-13)), 0.0, 0.0]))
     rate = _rate([s for r in checked if not r.toxic for s in r.score], sum(r.n for r in checked if not r.toxic))
-    x = np.array([(1.0, *_measures(maximal_segments(np.array(r["at"], int), np.array(r.score)), r.n, rate)[1:]) for r in checked])
+    measured = [_measures(maximal_segments(np.array(r["at"], int), np.array(r.score)), r.n, rate) for r in checked]
+    x = np.array([(1.0, np.log1p(best), summed) for _, best, summed in measured])
     return Model(lexicon, rate, _logistic(x, y))
 
 
