@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relata.llm import bpe, decontaminate, html, licenses, minhash, pii, quality, substrings, toxicity
+from relata.llm import bpe, decontaminate, html, licenses, maxent, minhash, pii, quality, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +57,12 @@ def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = maxent.score_documents(docs, fold(7) != 2)
+    return out.select("doc_id", (fold(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]).drop("spans")
 
@@ -77,6 +83,7 @@ def queries() -> dict[str, Query]:
         "op4_bpe_transducer": op4_bpe_transducer,
         "op5_decontamination": op5_decontamination,
         "op6_html_main_text": op6_html_main_text,
+        "op7_lm_scoring": op7_lm_scoring,
         "op8_license_scan": op8_license_scan,
         "op9_pii_surrogates": op9_pii_surrogates,
         "op10_near_duplicates": op10_near_duplicates,
