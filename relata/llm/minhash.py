@@ -7,10 +7,12 @@ child that each chosen token names. Two classes of similarity ``THRESHOLD`` shar
 of one tree with probability 0.60, of any of 12 trees with 0.99998; more similar ones all but always.
 
 Nodes of up to ``SMALL`` classes are compared exhaustively. In larger ones, which hold groups of near
-copies, all are compared with the smallest; once components are known, those that still hold several
-components are branched on until they are small (or, at ``LAST_DEPTH``, compared across components). So no
-group is compared pair by pair, and no link between components is lost. Pairs are first held against an
-estimate from the signatures, loose by 4.6 standard deviations, then confirmed on the full sets.
+copies, all are compared with the smallest. Pairs are first held against an estimate from the signatures,
+loose by 4.6 standard deviations, then confirmed on the full sets, and links give components. Large nodes
+that still hold several components (near copies just under the threshold, mostly) can't be branched apart:
+they are joined into families, cut into parts of bounded size, and each two parts are compared exhaustively
+by products of their incidence matrices, of which only links that join components come out. So no group is
+written out pair by pair, and no link between components is lost.
 
 Defined results: null and empty texts and those without words have empty sets, link with nothing and are
 kept; repeated rows share their component; rows of one id stand or fall together; a null id has no component
@@ -35,8 +37,14 @@ PERCENT = 75
 SIGNATURE = 64
 TREES = 12
 DEPTH = 3
-LAST_DEPTH = 24
 SMALL = 16
+#: Most classes and shingles of a part of a family.
+PART_CLASSES = 1024
+PART_SHINGLES = 1_500_000
+#: A shingle in so many sets of a block is a column of the dense product.
+DENSE = 32
+#: Equal places that connect a class with its node's pivot in a family.
+FAMILY_EQUAL = 20
 #: Equal places of two signatures that make a candidate; similarity 0.75 gives 48 +- 3.5.
 LEAST_EQUAL = 32
 #: Equal places from which a pair is tried first.
@@ -124,7 +132,7 @@ def _node_pairs(nodes: DataFrame) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
-def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _likely(pairs: DataFrame, classes: DataFrame, least: int = LEAST_EQUAL) -> DataFrame:
     """pairs with their number of equal signature places, if that is enough."""
     sig = classes.select("cid", "sig")
 
@@ -133,7 +141,7 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             if not len(batch):
                 continue
             equal = (_signature_rows(batch.column(2)) == _signature_rows(batch.column(3))).sum(1)
-            keep = equal >= LEAST_EQUAL
+            keep = equal >= least
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep)), pa.array(equal[keep].astype(np.int32))], ["a", "b", "equal"])
 
     left = pairs.join(sig.select(F.col("cid").alias("a"), F.col("sig").alias("sa")), "a")
@@ -166,51 +174,123 @@ def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
 
-def _texts(docs: DataFrame, pairs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    ends = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    return cut(docs.select(F.col(doc_id).cast("long").alias("cid"), F.col(text).alias("text")).join(ends, "cid", "left_semi"))
+def _texts(docs: DataFrame, cids: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """(cid, text) of the classes named. They grow with the corpus, so they are merged with it at any size."""
+    return cut(docs.select(F.col(doc_id).cast("long").alias("cid"), F.col(text).alias("text")).join(cids.distinct().hint("merge"), "cid", "left_semi"))
+
+
+def _intersections(sets: list[np.ndarray], few: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets `few` (indices) with all sets.
+
+    Tokens of one set count nothing. Those of many sets are columns of a dense product; those of some sets
+    add one to each pair of their sets.
+    """
+    m, k = len(sets), len(few)
+    place = np.full(m, -1)
+    place[few] = np.arange(k)
+    token = np.concatenate(sets)
+    row = np.repeat(np.arange(m), [len(s) for s in sets])
+    order = np.lexsort((row, token))
+    token, row = token[order], row[order]
+    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    size = np.diff(np.append(first, len(token)))
+    out = np.zeros(k * m, np.float32)
+    for n in np.unique(size[(size > 1) & (size < DENSE)]):
+        rows = row[first[size == n][:, None] + np.arange(n)]
+        for part in np.array_split(rows, max(1, rows.size * n >> 22)):
+            pairs = place[part][:, :, None] * m + part[:, None, :]
+            pairs = pairs[place[part] >= 0]  # those of the few
+            out += np.bincount(pairs.ravel(), minlength=k * m).astype(np.float32)
+    out = out.reshape(k, m)
+    dense = np.flatnonzero(size >= DENSE)
+    for some in np.array_split(dense, max(1, -(-len(dense) // 2048))) if len(dense) else []:
+        holds = np.zeros((m, len(some)), np.float32)
+        for c, t in enumerate(some):
+            holds[row[first[t] : first[t] + size[t]], c] = 1
+        out += holds[few] @ holds.T
+    return out
+
+
+def _spanning_links(cids: np.ndarray, component: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between different components, as many as join them."""
+    names, comp, sizes = np.unique(component, return_inverse=True, return_counts=True)
+    few = np.flatnonzero(comp != sizes.argmax())  # whatever links needs one end outside the largest
+    if not len(few):
+        return []
+    n = np.array([len(s) for s in sets])
+    both = _intersections(sets, few)
+    x, y = np.nonzero((100 * both >= percent * (n[few][:, None] + n[None, :] - both)) & (comp[few][:, None] != comp[None, :]))
+    parent = list(range(len(names)))
+
+    def top(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    out = []
+    for a, b in zip(few[x].tolist(), y.tolist()):
+        i, j = top(comp[a]), top(comp[b])
+        if i != j:
+            parent[i] = j
+            out.append((int(cids[a]), int(cids[b])))
+    return out
+
 
+def _family_blocks(nodes: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame | None:
+    """(family, lo, hi, cid, component): the blocks in which large nodes of several components are compared; None if there are none.
 
-def _split_large(nodes: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame | None:
-    """Candidates of the large nodes that hold several components; None if there are none."""
+    A family is what likely pairs with the nodes' pivots connect; it is cut into parts of bounded size, and
+    each two parts (and each part) are a block.
+    """
     label = found.select(F.col("id").alias("cid"), "component")
-    out, depth = None, DEPTH
-    while True:
-        own = nodes.join(label, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-        mixed = own.groupBy("node").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-        own = cut(own.select("node", "cid", "component").join(mixed.select("node", "m"), "node"))
-        few = own.where((F.col("m") <= SMALL) | F.lit(depth >= LAST_DEPTH))
-        other = few.select("node", F.col("cid").alias("b"), F.col("component").alias("cb"))
-        pairs = few.join(other, "node").where((F.col("cid") < F.col("b")) & (F.col("component") != F.col("cb"))).select(F.col("cid").alias("a"), "b")
-        large = own.where(F.col("m") > SMALL)
-        out = pairs if out is None else out.unionByName(pairs)
-        if depth >= LAST_DEPTH or large.isEmpty():
-            break
-        nodes = _branch(large.join(classes.select("cid", "sig"), "cid").select("cid", "sig", "node"), 1)
-        depth += 1
-    return None if out.isEmpty() else out.distinct()
+    own = cut(nodes.join(label, "cid", "left").select("node", "cid", "pivot", F.coalesce("component", "cid").alias("component")))
+    mixed = own.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("node")
+    stars = own.where("cid <> pivot").join(mixed, "node").select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct()
+    near = cut(_likely(stars, classes, FAMILY_EQUAL))
+    if near.isEmpty():
+        return None
+    members = components(near.select("a", "b")).select(F.col("id").alias("cid"), F.col("component").alias("family"))
+    members = members.join(label, "cid", "left").join(classes.select("cid", "n_shingles"), "cid").withColumn("component", F.coalesce("component", "cid"))
+    members = cut(members)
+    parts = F.greatest(F.ceil(F.count("*") / PART_CLASSES), F.ceil(F.sum("n_shingles") / PART_SHINGLES))
+    sizes = members.groupBy("family").agg(parts.alias("parts"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("family", "parts")
+    dealt = members.join(sizes, "family").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return dealt.select("family", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "cid", "component")
+
+
+def _compare_blocks(blocks: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components, found on full sets within blocks."""
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        cids, component = block.column("cid").to_numpy(), block.column("component").to_numpy()
+        links = _spanning_links(cids, component, set_list(block.column("text").combine_chunks()), percent)
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return blocks.join(texts, "cid").groupBy("family", "lo", "hi").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs."""
     signed = cut(signatures(docs, text, doc_id))
     classes = cut(signed.where("n_shingles > 0").groupBy("n_shingles", "fp0", "fp1").agg(F.min("doc_id").alias("cid"), F.min("sig").alias("sig")))
-    own = classes.where("cid IS NOT NULL").select("cid", "sig")
+    own = classes.where("cid IS NOT NULL").select("cid", "sig", "n_shingles")
     nodes = cut(_crowded(_branch(own, DEPTH)))
     pairs = cut(_likely(_node_pairs(nodes), own))
-    texts = _texts(docs, pairs, text, doc_id)
+    ends = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid")))
+    texts = _texts(docs, ends, text, doc_id)
     # first each class with the smallest likely one, which links most groups as a star; then what lies across
     star = pairs.where(F.col("equal") >= LIKELY_EQUAL).groupBy("b").agg(F.min("a").alias("a"))
     links = cut(_confirmed(star, texts, percent))
     found = components(links)
     links = links.unionByName(cut(_confirmed(_across(pairs, found), texts, percent)))
     found = components(links)
-    more = _split_large(nodes.where(F.col("n") > SMALL).select("node", "cid"), own, found)
-    if more is not None:
-        rest = cut(_across(_likely(more, own), found))
-        if not rest.isEmpty():
-            links = links.unionByName(cut(_confirmed(rest, _texts(docs, rest, text, doc_id), percent)))
-            found = components(links)
+    blocks = _family_blocks(nodes.where(F.col("n") > SMALL).select("node", "cid", "pivot"), own, found)
+    if blocks is not None:
+        blocks = cut(blocks)
+        links = links.unionByName(cut(_compare_blocks(blocks, _texts(docs, blocks.select("cid"), text, doc_id), percent)))
+        found = components(links)
     named = classes.drop("sig").join(found.select(F.col("id").alias("cid"), "component"), "cid", "left").select("n_shingles", "fp0", "fp1", F.coalesce("component", "cid").alias("component_id"))
     out = signed.drop("sig").join(named, ["n_shingles", "fp0", "fp1"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
