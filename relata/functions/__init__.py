@@ -1,0 +1 @@
+"""Text forms of predicates and arithmetic, as Spark column expressions."""

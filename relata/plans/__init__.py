@@ -1,0 +1 @@
+"""Estimation, planning and the SQL dialect."""

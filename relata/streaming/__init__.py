@@ -1,0 +1,12 @@
+"""Structured Streaming entry points. Every operator of this library is a DataFrame function without state
+of its own, so filters, projections and static joins run on streams as they are; see ``follow``."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+
+def follow(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A stream of the rows appended to a stored table."""
+    return spark.readStream.schema(schema).parquet(path)
