@@ -350,7 +350,7 @@ def _sum_rows(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _score_frequent(docs: DataFrame, model: Model, text: str) -> DataFrame:
-    """docs with what the vocabulary tells of each text: n_words, n_rare, known, base, model."""
+    """docs with what the vocabulary tells of each text, in columns __n_words, __n_rare, __known, __base, __model."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most VOCABULARY words
 
     def make(batch: pa.RecordBatch) -> dict[str, pa.Array]:
@@ -369,9 +369,9 @@ def _score_frequent(docs: DataFrame, model: Model, text: str) -> DataFrame:
             out.append((w.counts, w.counts - n_known, n_known, _sum_rows(base, w.first), by_text + _sum_rows(inside, w.first)))
         columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0)] * 5
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return {k: pa.array(c.astype(np.float64 if t == pa.float64() else np.int64), t) for k, c, t in zip(("n_words", "n_rare", "known", "base", "model"), columns, kinds)}
+        return {f"__{k}": pa.array(c.astype(np.float64 if t == pa.float64() else np.int64), t) for k, c, t in zip(("n_words", "n_rare", "known", "base", "model"), columns, kinds)}
 
-    return add_columns(docs, make, "n_words long, n_rare long, known long, base double, model double")
+    return add_columns(docs, make, "__n_words long, __n_rare long, __known long, __base double, __model double")
 
 
 def _send_rare(docs: DataFrame, model: Model, text: str, buckets: int) -> DataFrame:
@@ -394,11 +394,17 @@ def _send_rare(docs: DataFrame, model: Model, text: str, buckets: int) -> DataFr
             h, key, bucket = h[new], key[new], bucket[new]
             yield _rows([(int(bucket[a]), 1, h[a:b].tobytes() + key[a:b].tobytes() + times[a:b].tobytes()) for a, b in _split(bucket)], ["bucket", "kind", "payload"], [pa.int64(), pa.int32(), pa.binary()])
 
-    return docs.select("key", text).mapInArrow(run, _DEALT)
+    return docs.select("__key", text).mapInArrow(run, _DEALT)
 
 
-def _score_rare(dealt: DataFrame, model: Model) -> DataFrame:
-    """Sums over rare words by key, from their counts (kind 0) and places (kind 1), a bucket in one task."""
+_SUMS = {"key": np.int64, "times": np.int64, "known": np.int64, "base": np.float64, "model": np.float64}
+
+
+def _score_rare(dealt: DataFrame, model: Model, buckets: int) -> DataFrame:
+    """Sums over rare words by key, from their counts (kind 0) and places (kind 1), a bucket in one task.
+
+    A text's words are in many buckets, so the sums go packed to the bucket of the key and are added there.
+    """
     bottom = np.log10(model.rare_tokens + model.rare_words + 1.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,9 +433,26 @@ def _score_rare(dealt: DataFrame, model: Model) -> DataFrame:
         keys, inverse = np.unique(key_, return_inverse=True)
         by = lambda x: np.bincount(inverse, x, len(keys))
         logs = np.log10(count + 1.0)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(by(n).astype(np.int64)), pa.array(by(n * (count > 0)).astype(np.int64)), pa.array(by(n * logs)), pa.array(by(n * (logs - bottom)))], ["key", "times", "known", "base", "model"])
+        sums = [keys, by(n).astype(np.int64), by(n * (count > 0)).astype(np.int64), by(n * logs), by(n * (logs - bottom))]
+        bucket = keys % buckets
+        order = np.argsort(bucket, kind="stable")
+        sums, bucket = [x[order] for x in sums], bucket[order]
+        yield _rows([(int(bucket[a]), b"".join(x[a:b].tobytes() for x in sums)) for a, b in _split(bucket)], ["bucket", "payload"], [pa.int64(), pa.binary()])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in _SUMS.values()]
+        for batch in batches:
+            for payload in batch.column(1).to_pylist():
+                n = len(payload) // 40
+                for k, (part, t) in enumerate(zip(parts, _SUMS.values())):
+                    part.append(np.frombuffer(payload, t, n, 8 * n * k))
+        key, *values = map(np.concatenate, parts)
+        keys, inverse = np.unique(key, return_inverse=True)
+        added = [np.bincount(inverse, v, len(keys)).astype(v.dtype) for v in values]
+        yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, added)], ["__key", *(f"__r_{c}" for c in list(_SUMS)[1:])])
 
-    return dealt.mapInArrow(run, "key long, times long, known long, base double, model double").groupBy("key").agg(*[F.sum(c).alias(f"r_{c}") for c in ("times", "known", "base", "model")])
+    sums = dealt.mapInArrow(run, "bucket long, payload binary").repartition("bucket")
+    return sums.mapInArrow(add, "__key long, __r_times long, __r_known long, __r_base double, __r_model double")
 
 
 def score_documents(docs: DataFrame, may_learn: Column, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -438,20 +461,20 @@ def score_documents(docs: DataFrame, may_learn: Column, text: str = "text", doc_
     texts = docs.where(may_learn).select(text)
     counts = cut(word_counts(texts, buckets))
     model = learn(texts, counts)
-    keyed = docs.withColumn("key", F.xxhash64(doc_id, text))
+    keyed = docs.withColumn("__key", F.xxhash64(doc_id, text))
     dealt = _send_rare(keyed, model, text, buckets).unionByName(counts.select("bucket", F.lit(0).alias("kind"), "payload"))
-    rare = _score_rare(dealt.repartition("bucket"), model)
-    out = _score_frequent(keyed, model, text).drop(text).join(rare, "key", "left")
+    rare = _score_rare(dealt.repartition("bucket"), model, buckets // 8)
+    out = _score_frequent(keyed, model, text).drop(text).join(rare, "__key", "left")
     # rows that are equal in id and text have one key: their sums came together
-    copies = F.greatest(F.lit(1), F.round(F.coalesce("r_times", F.lit(0)) / F.greatest("n_rare", F.lit(1))))
-    own = lambda c: F.coalesce(F.col(f"r_{c}") / copies, F.lit(0.0))
-    n = F.col("n_words") + 1
+    copies = F.greatest(F.lit(1), F.round(F.coalesce("__r_times", F.lit(0)) / F.greatest("__n_rare", F.lit(1))))
+    own = lambda c: F.coalesce(F.col(f"__r_{c}") / copies, F.lit(0.0))
+    n = F.col("__n_words") + 1
     end_base = float(np.log10(model.documents + 1.0))
     below = float(np.log10(model.tokens + (model.words + 1)))
     return out.withColumns({
         "n_tokens": n.cast("long"),
-        "n_known": (F.col("known") + F.round(own("known")) + int(model.documents > 0)).cast("long"),
+        "n_known": (F.col("__known") + F.round(own("known")) + int(model.documents > 0)).cast("long"),
         "train_tokens": F.lit(model.tokens).cast("long"),
-        "base_score": F.col("base") + own("base") + end_base - n * below,
-        "score": F.col("model") + own("model"),
-    }).drop("key", "n_words", "n_rare", "known", "base", "model", "r_times", "r_known", "r_base", "r_model")
+        "base_score": F.col("__base") + own("base") + end_base - n * below,
+        "score": F.col("__model") + own("model"),
+    }).drop("__key", "__n_words", "__n_rare", "__known", "__base", "__model", "__r_times", "__r_known", "__r_base", "__r_model")
