@@ -123,8 +123,11 @@ def strings(column: pa.Array) -> list[str]:
     return pc.fill_null(column, "").to_pylist()
 
 
-def add_columns(df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, pa.Array]], ddl: str, keep: list[str] | None = None) -> DataFrame:
-    """df (or its columns `keep`) with the columns `ddl` that make() gives for a batch; they replace others of their name."""
+def add_columns(df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, pa.Array]], ddl: str, keep: list[str] | None = None, done: Callable[[], None] | None = None) -> DataFrame:
+    """df (or its columns `keep`) with the columns `ddl` that make() gives for a batch; they replace others of their name.
+
+    done() is called at a task's end; workers outlive their tasks.
+    """
     spark = df.sparkSession
     new = spark.createDataFrame([], ddl).schema
     old = [f for f in df.schema.fields if f.name not in new.names and (keep is None or f.name in keep)]
@@ -134,5 +137,7 @@ def add_columns(df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, pa.Arr
         for batch in batches:
             made = make(batch)
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(f.name)) for f in old] + [made[f.name] for f in new.fields], names=schema.names)
+        if done:
+            done()
 
     return df.mapInArrow(run, schema)

@@ -41,7 +41,7 @@ from relata.llm.arrow import LETTERS, LOWER, add_columns, find_words, strings, t
 LEXICON_WORDS = 50_000
 #: Entries of a task's summary; a word's count is too low by at most the task's tokens / SUMMARY.
 SUMMARY = 50_000
-MEMO_WORDS = 500_000
+MEMO_WORDS = 400_000
 _SMALL_ENDIAN = sys.byteorder == "little" and array("I").itemsize == 4
 
 
@@ -261,7 +261,7 @@ def _rules(name: str) -> Rules:
     return Rules(SparkFiles.get(name))
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _encoder(rules: str, lexicon: str) -> Encoder:
     """A worker's own; both files came with the job."""
     return Encoder(_rules(rules), Lexicon(SparkFiles.get(lexicon)))
@@ -351,7 +351,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: list[
         return {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string()), "ids": pa.array(raw, pa.binary())}
 
     ddl = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids
-    return add_columns(docs if keep is None else docs.select(*dict.fromkeys([*keep, text])), make, ddl, keep)
+    return add_columns(docs if keep is None else docs.select(*dict.fromkeys([*keep, text])), make, ddl, keep, lambda: _encoder(*names).memo.clear())
 
 
 def decode_ids(ids: bytes, rules: Rules) -> str:

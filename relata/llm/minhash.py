@@ -40,7 +40,9 @@ DEPTH = 3
 SMALL = 16
 #: Most classes and shingles of a part of a family.
 PART_CLASSES = 1024
-PART_SHINGLES = 1_500_000
+PART_SHINGLES = 500_000
+#: Pairs of texts that are confirmed at once.
+CONFIRM_ROWS = 512
 #: A shingle in so many sets of a block is a column of the dense product.
 DENSE = 32
 #: Equal places that connect a class with its node's pivot in a family.
@@ -152,14 +154,14 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) whose full sets are similar enough; texts has (cid, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, CONFIRM_ROWS) for b in batches for at in range(0, len(b), CONFIRM_ROWS)):
             ids: dict[int, int] = {}
             pairs = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
             for side in (0, 1):  # a text that is in many pairs is cut into shingles once
                 for row, p in enumerate(pairs):
                     ids.setdefault(p[side], row + side * len(pairs))
-            both = pa.chunked_array([batch.column(2), batch.column(3)]).combine_chunks()
-            sets = dict(zip(ids, set_list(both.take(pa.array(list(ids.values()), pa.int64())))))
+            both = pa.chunked_array([batch.column(2), batch.column(3)]).take(pa.array(list(ids.values()), pa.int64())).combine_chunks()
+            sets = dict(zip(ids, set_list(both)))
             good = pa.array([jaccard_at_least(sets[a], sets[b], percent) for a, b in pairs], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["a", "b"])
 

@@ -60,10 +60,13 @@ def _repeat_words(words: Column, grams: Column) -> Column:
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the measures of RULES."""
     t = F.coalesce(F.col(text), F.lit(""))
-    # each step is used more than once by the next, so the optimizer keeps it a projection of its own
-    base = docs.withColumns({"__t": t, "__w": words_of(F.col(text)), "__l": F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^ \t-\r]"))})
+    # Each step is used more than once by the next, so the optimizer keeps it a projection of its own. And each
+    # reads the row's number, which isn't deterministic, so that no filter above is pushed below it, where the
+    # text would be split again for each word.
+    held = lambda c: F.when(F.monotonically_increasing_id() >= 0, c)
+    base = docs.withColumns({"__t": t, "__w": held(words_of(F.col(text))), "__l": held(F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^ \t-\r]")))})
     gram = lambda x, i: F.xxhash64(x, F.get(F.col("__w"), i + 1), F.get(F.col("__w"), i + 2))
-    base = base.withColumn("__g", F.transform(F.slice("__w", 1, F.greatest(F.size("__w") - 2, F.lit(0))), gram))
+    base = base.withColumn("__g", held(F.transform(F.slice("__w", 1, F.greatest(F.size("__w") - 2, F.lit(0))), gram)))
     n = F.size("__w").cast("long")
     stop = F.size(F.filter("__w", lambda x: x.isin([*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)])))
     out = base.withColumns({
@@ -88,3 +91,13 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: tuple[tuple[str, f
     within = [F.col(m).between(lo if lo is not None else float("-inf"), hi if hi is not None else float("inf")) for m, lo, hi in rules]
     base_failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return measures(docs, text).withColumn("base_failed", base_failed).withColumn("kept", ~F.col("base_failed") & reduce(lambda a, b: a & b, within, F.lit(True)))
+
+
+def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs without those that the rules reject, in their own columns.
+
+    The condition also reads a column that isn't deterministic (and always true), so that the optimizer leaves
+    the filter above the measures instead of taking them twice.
+    """
+    ruled = quality_rules(docs, text).withColumn("__row", F.monotonically_increasing_id())
+    return ruled.where(F.col("kept") & (F.col("__row") >= 0)).select(*docs.columns)
