@@ -173,9 +173,9 @@ def _scan(docs: DataFrame, q: Queries, text: str) -> DataFrame:
         match = pa.StructArray.from_arrays([pa.array(item, pa.int64()), pa.array(word, pa.int32()), pa.array(place, pa.int32()), pa.array(size, pa.int32())], ["item_id", "item_word", "doc_word", "n_words"])
         pairs = np.unique(np.stack([doc, item], 1), axis=0)
         both = lambda x: pa.array(np.concatenate(x) if x else [], pa.int64())
-        return {"n_words": both(n_words), "n_hit": both(n_hit), "hit_items": _lists(pairs[:, 0], len(batch), pa.array(pairs[:, 1], pa.int64())), "matches": _lists(doc, len(batch), match)}
+        return {"n_words": both(n_words), "n_hit": both(n_hit), "__hit_items": _lists(pairs[:, 0], len(batch), pa.array(pairs[:, 1], pa.int64())), "matches": _lists(doc, len(batch), match)}
 
-    return add_columns(docs, make, f"n_words long, n_hit long, hit_items array<long>, matches {MATCH}")
+    return add_columns(docs, make, f"n_words long, n_hit long, __hit_items array<long>, matches {MATCH}")
 
 
 def _item_blocks(benchmark: DataFrame, item_id: str, text: str) -> list[DataFrame]:
@@ -197,14 +197,14 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
             continue
         # further blocks: the hits of all blocks come together in a document's row
         out = cut(out)
-        more = _scan(out.select(*docs.columns, F.col("hit_items").alias("__i"), F.col("matches").alias("__m")), q, text)
-        out = more.withColumns({"hit_items": F.array_distinct(F.concat("__i", "hit_items")), "matches": F.concat("__m", "matches")}).drop("__i", "__m")
+        more = _scan(out.select(*docs.columns, F.col("__hit_items").alias("__i"), F.col("matches").alias("__m")), q, text)
+        out = more.withColumns({"__hit_items": F.array_distinct(F.concat("__i", "__hit_items")), "matches": F.concat("__m", "matches")}).drop("__i", "__m")
         out = out.withColumn("n_hit", _union_size(F.col("matches")))
 
     def digest(ids):  # noqa: ANN001, ANN202
         return F.sha2(F.array_join(F.array_sort(F.transform(ids, lambda i: i.cast("string"))), ","), 256)
 
-    return out.withColumns({"n_items": F.size("hit_items").cast("long"), "items_sha256": digest(F.col("hit_items")), "contaminated": (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))}).drop("hit_items")
+    return out.withColumns({"n_items": F.size("__hit_items").cast("long"), "items_sha256": digest(F.col("__hit_items")), "contaminated": (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))}).drop("__hit_items")
 
 
 def _union_size(matches):  # noqa: ANN001, ANN202
