@@ -166,7 +166,7 @@ def _ssn(stream: Column) -> Column:
     return F.concat_ws("-", F.lpad(n(0, 665), 3, "0"), F.lpad(n(1, 99), 2, "0"), F.lpad(n(2, 9999), 4, "0"))
 
 
-def _name(normal: Column, stream: Column) -> Column:
+def _name(entity: Column, normal: Column, stream: Column) -> Column:
     """Title kept; given name of the title's gender and the name's script; family name where there was one."""
     title = F.regexp_extract(normal, r"^(\S+) ", 1)
     rest = F.substring_index(normal, " ", -1)
@@ -179,7 +179,7 @@ def _name(normal: Column, stream: Column) -> Column:
     for s, parts in SYLLABLES.items():
         made = F.initcap(F.concat(*[_pick(parts, _byte(stream, F.lit(i))) for i in (1, 2, 3, 4)]))
         family = F.when(script == s, made).otherwise(family)
-    return F.concat_ws(" ", title, given, family)
+    return F.concat_ws(" ", F.regexp_extract(entity, r"^(\S+) ", 1), given, family)
 
 
 def surrogate(entity: Column, kind: Column, normal: Column, attempt: Column, key: str) -> Column:
@@ -201,7 +201,7 @@ def surrogate(entity: Column, kind: Column, normal: Column, attempt: Column, key
             .when(kind == "ssn", _ssn(s))
             .when(kind == "aws_key", F.concat(F.lit("AKIA"), _same_class(F.substr(entity, F.lit(5)), s)))
             .when(kind == "secret", F.replace(entity, normal, _same_class(normal, s, normal.rlike(_HEX))))
-            .otherwise(_name(normal, s))
+            .otherwise(_name(entity, normal, s))
         )
 
     return let(_stream(key, kind, normal, attempt), of)
@@ -224,7 +224,7 @@ def _drawn_again(ents: DataFrame, key: str) -> DataFrame | None:
     for _ in range(MAX_ATTEMPTS):
         drawn = now.withColumn("s", normal_form(surrogate(F.col("entity"), F.col("kind"), F.col("normal"), F.col("attempt"), key), F.col("kind")))
         # of each surrogate the smallest holder; a surrogate that is itself an entity has none
-        holder = drawn.select("kind", "s", "normal").unionByName(ents.select("kind", F.col("normal").alias("s"), F.lit("").alias("normal"))).groupBy("kind", "s").agg(F.min("normal").alias("holder"), F.count("*").alias("n")).where("n > 1")
+        holder = drawn.select("kind", "s", "normal").unionByName(first.select("kind", F.col("normal").alias("s"), F.lit("").alias("normal"))).groupBy("kind", "s").agg(F.min("normal").alias("holder"), F.count("*").alias("n")).where("n > 1")
         bad = cut(drawn.join(holder, ["kind", "s"]).where(F.col("normal") != F.col("holder")).select("kind", "normal"))
         if bad.isEmpty():
             break

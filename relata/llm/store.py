@@ -1,9 +1,11 @@
-"""Where intermediate tables of an operator go: the folder that the cluster shares."""
+"""Where intermediate tables of an operator go (the folder that the cluster shares), and the package to workers."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +19,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for each application; they may not have it installed."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent.parent
+    path = f"{tempfile.mkdtemp(prefix='relata')}/relata.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read back: later steps do not compute it again."""
     path = f"{shared_dir(df.sparkSession)}/relata-{uuid.uuid4().hex}"
