@@ -119,8 +119,10 @@ def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[in
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
 
 
-def strings(column: pa.Array) -> list[str]:
-    return pc.fill_null(column, "").to_pylist()
+def strings(column: pa.Array, rows: int = 256) -> Iterator[str]:
+    """Texts of a column as strings, few at a time; null is empty."""
+    for at in range(0, len(column), rows):
+        yield from pc.fill_null(column.slice(at, rows), "").to_pylist()
 
 
 def add_columns(df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, pa.Array]], ddl: str, keep: list[str] | None = None, done: Callable[[], None] | None = None) -> DataFrame:

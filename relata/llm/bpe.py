@@ -16,6 +16,7 @@ table gives an empty result; extra columns stay, but for columns named like the
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
@@ -25,7 +26,7 @@ import tempfile
 import unicodedata
 import uuid
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache, lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -41,7 +42,7 @@ from relata.llm.arrow import LETTERS, LOWER, add_columns, find_words, strings, t
 LEXICON_WORDS = 50_000
 #: Entries of a task's summary; a word's count is too low by at most the task's tokens / SUMMARY.
 SUMMARY = 50_000
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 _SMALL_ENDIAN = sys.byteorder == "little" and array("I").itemsize == 4
 
 
@@ -241,19 +242,23 @@ class Encoder:
             return self.rules.words(text)
         return [w for part in self.rules.split(text) for w in ([part] if part in special else self.rules.words(part))]
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
+    def encode(self, texts: Iterable[str]) -> Iterator[tuple[bytes, bytes]]:
         """(ids as little-endian unsigned 32-bit integers, decoded text in UTF-8) of each text."""
         pieces, size = [], 0
-        for k, text in enumerate(texts):
+        for text in texts:
             pieces.append(self.pieces(text))
             size += len(pieces[-1])
-            if size > 1 << 18 or k == len(texts) - 1:
-                self.learn(set().union(*pieces))
-                get = self.memo.__getitem__
-                for own in pieces:
-                    ids, shown = zip(*map(get, own)) if own else ((), ())
-                    yield b"".join(ids), b" ".join(shown)
+            if size > 1 << 17:
+                yield from self._encoded(pieces)
                 pieces, size = [], 0
+        yield from self._encoded(pieces)
+
+    def _encoded(self, pieces: list[list[str]]) -> Iterator[tuple[bytes, bytes]]:
+        self.learn(set().union(*pieces))
+        get = self.memo.__getitem__
+        for own in pieces:
+            ids, shown = zip(*map(get, own)) if own else ((), ())
+            yield b"".join(ids), b" ".join(shown)
 
 
 @cache
@@ -332,6 +337,8 @@ def ship_lexicon(docs: DataFrame, path: str, text: str = "text", size: int = LEX
             entries[w] = rules.merge(word)
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     compile_lexicon(entries, f"{folder}/{name}")
+    del entries, words, whole, back, frequent, rules
+    gc.collect()  # the driver goes on for long
     sc.addFile(f"{folder}/{name}")
     return rules_name, name
 

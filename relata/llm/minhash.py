@@ -39,8 +39,8 @@ TREES = 12
 DEPTH = 3
 SMALL = 16
 #: Most classes and shingles of a part of a family.
-PART_CLASSES = 1024
-PART_SHINGLES = 500_000
+PART_CLASSES = 512
+PART_SHINGLES = 250_000
 #: Pairs of texts that are confirmed at once.
 CONFIRM_ROWS = 512
 #: A shingle in so many sets of a block is a column of the dense product.
@@ -81,7 +81,7 @@ def signatures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     return out
 
 
-def _children(node: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _children(node: np.ndarray, row: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index of the parent, child node) one level on: a node chooses one place, and for every third node another."""
     h = mix(node + _SALT[2])
     first = (h % np.uint64(SIGNATURE)).astype(np.int64)
@@ -91,7 +91,7 @@ def _children(node: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray
     every = np.arange(len(node))
     parent = np.concatenate([every, every[two]])
     place = np.concatenate([first, second[two]])
-    return parent, mix(mix(node[parent] ^ _PLACES[place]) + sig[parent, place].astype(np.uint64))
+    return parent, mix(mix(node[parent] ^ _PLACES[place]) + sig[row[parent], place].astype(np.uint64))
 
 
 def _signature_rows(column: pa.Array) -> np.ndarray:
@@ -112,7 +112,7 @@ def _branch(df: DataFrame, levels: int) -> DataFrame:
             else:
                 row, node = np.repeat(np.arange(len(cid)), TREES), np.tile(mix(np.arange(1, TREES + 1, dtype=np.uint64)), len(cid))
             for _ in range(levels):
-                parent, node = _children(node, sig[row])
+                parent, node = _children(node, row, sig)
                 row = row[parent]
             yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(cid[row])], ["node", "cid"])
 
@@ -199,7 +199,7 @@ def _intersections(sets: list[np.ndarray], few: np.ndarray) -> np.ndarray:
     out = np.zeros(k * m, np.float32)
     for n in np.unique(size[(size > 1) & (size < DENSE)]):
         rows = row[first[size == n][:, None] + np.arange(n)]
-        for part in np.array_split(rows, max(1, rows.size * n >> 22)):
+        for part in np.array_split(rows, max(1, rows.size * n >> 19)):
             pairs = place[part][:, :, None] * m + part[:, None, :]
             pairs = pairs[place[part] >= 0]  # those of the few
             out += np.bincount(pairs.ravel(), minlength=k * m).astype(np.float32)

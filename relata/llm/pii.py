@@ -222,7 +222,8 @@ def _drawn_again(ents: DataFrame, key: str) -> DataFrame | None:
     first = cut(ents.withColumn("attempt", F.lit(0)))
     now = first
     for _ in range(MAX_ATTEMPTS):
-        drawn = now.withColumn("s", normal_form(surrogate(F.col("entity"), F.col("kind"), F.col("normal"), F.col("attempt"), key), F.col("kind")))
+        # written, so that the surrogates (long expressions) are planned and made once a round
+        drawn = cut(now.withColumn("s", normal_form(surrogate(F.col("entity"), F.col("kind"), F.col("normal"), F.col("attempt"), key), F.col("kind"))))
         # of each surrogate the smallest holder; a surrogate that is itself an entity has none
         holder = drawn.select("kind", "s", "normal").unionByName(first.select("kind", F.col("normal").alias("s"), F.lit("").alias("normal"))).groupBy("kind", "s").agg(F.min("normal").alias("holder"), F.count("*").alias("n")).where("n > 1")
         bad = cut(drawn.join(holder, ["kind", "s"]).where(F.col("normal") != F.col("holder")).select("kind", "normal"))
