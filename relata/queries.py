@@ -140,10 +140,18 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _arithmetic(name: str, function: str, sql: str, grammar: str = "standard") -> None:
+    """name on the first orders, as its SQL has it; name_whole on every row of lineitem."""
+
+    def values(l: DataFrame) -> DataFrame:  # noqa: E741
+        return l.select("l_orderkey", "l_linenumber", arith.to_column(function, l.schema, grammar).alias("value"))
+
     @_query(name, f"SELECT l_orderkey, l_linenumber, {sql} AS value FROM lineitem WHERE l_orderkey < 50")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        l = r.select(tables.load(spark, sf_dir, "lineitem"), "(l_orderkey < 50)")  # noqa: E741
-        return l.select("l_orderkey", "l_linenumber", arith.to_column(function, l.schema, grammar).alias("value"))
+        return values(r.select(tables.load(spark, sf_dir, "lineitem"), "(l_orderkey < 50)"))
+
+    @_query(f"{name}_whole", f"SELECT l_orderkey, l_linenumber, {sql} AS value FROM lineitem")
+    def run_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return values(tables.load(spark, sf_dir, "lineitem"))
 
 
 _arithmetic("int_div", "-l_orderkey / 7", "-l_orderkey // 7")

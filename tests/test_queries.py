@@ -17,3 +17,8 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).columns == ["sum", "s_suppkey"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["int_div", "unary_minus", "mixed_promotion", "double_div", "arith_right_grammar"])
+def test_arithmetic_of_every_row(spark, sf, name):
+    assert queries.queries()[f"{name}_whole"](spark, sf).count() == spark.read.parquet(f"{sf}/lineitem.parquet").count()
