@@ -8,7 +8,9 @@ keep gender and script. So the same entity always gets the same surrogate, in ev
 Distinct entities must get distinct surrogates, and none may equal an entity of the corpus. The distinct
 entities are gathered (pre-aggregated, so a hot entity is one row a task), surrogates that collide are drawn
 again with the next attempt until none is left, and the drawn-again ones override the first attempt. They
-are few; up to ``MAX_LITERAL`` they travel in the plan, beyond it they are joined.
+are few; up to ``MAX_LITERAL`` they travel in the plan, beyond it they are joined. After ``FORM_ATTEMPTS`` the
+entity's form is full or nearly so, and each further attempt makes the surrogate longer. That ends for any
+number of entities: of those left, the smallest gives way to finitely many strings only, all shorter at last.
 
 Only column expressions are used. Defined results: null texts stay null, empty ones empty; repeated rows get
 equal texts; an empty table gives an empty result; extra columns pass through, but for n_entities and
@@ -25,7 +27,8 @@ from relata.llm.store import cut
 
 DEFAULT_KEY = "relata-surrogates-1"
 MAX_LITERAL = 2000
-MAX_ATTEMPTS = 50
+#: Attempts that keep an entity's form; later ones grow.
+FORM_ATTEMPTS = 8
 
 _TITLES_M = r"Mr|Herr|Señor|Sr|Monsieur|г-н|господин|Κύριος"
 _TITLES_F = r"Mrs|Ms|Miss|Frau|Señora|Sra|Srta|Madame|Mme|Mlle|г-жа|госпожа|Κυρία"
@@ -90,11 +93,11 @@ def is_entity(entity: Column, kind: Column) -> Column:
 
 def normal_form(entity: Column, kind: Column) -> Column:
     """Equal for the spellings of one entity."""
-    secret = F.regexp_extract(entity, r"([A-Za-z0-9_+/-]{8,128})[\"']?$", 1)
+    secret = F.regexp_extract(entity, r"([A-Za-z0-9_+/-]{8,})[\"']?$", 1)
     return (
         F.when(kind == "email", F.lower(entity))
         .when(kind.isin("card", "ssn"), _digits(entity))
-        .when(kind == "phone", F.right(_digits(entity), F.lit(10)))
+        .when(kind == "phone", F.concat(F.right(_digits(F.substring_index(entity, " x", 1)), F.lit(10)), F.regexp_extract(entity, " (x[0-9]+)$", 1)))
         .when(kind == "secret", secret)
         .when(kind == "name", F.regexp_replace(entity, r"^(\S+?)\.? ", "$1 "))
         .otherwise(entity)
@@ -166,7 +169,13 @@ def _ssn(stream: Column) -> Column:
     return F.concat_ws("-", F.lpad(n(0, 665), 3, "0"), F.lpad(n(1, 99), 2, "0"), F.lpad(n(2, 9999), 4, "0"))
 
 
-def _name(entity: Column, normal: Column, stream: Column) -> Column:
+def _tail(stream: Column, attempt: Column, items: list[str], before: str = "") -> Column:
+    """Keyed items, two more with each attempt beyond FORM_ATTEMPTS; until then empty."""
+    more = F.transform(F.sequence(F.lit(1), 2 * (attempt - FORM_ATTEMPTS)), lambda i: _pick(items, _byte(stream, i + 30)))
+    return F.when(attempt > FORM_ATTEMPTS, F.concat(F.lit(before), F.array_join(more, ""))).otherwise("")
+
+
+def _name(entity: Column, normal: Column, stream: Column, attempt: Column) -> Column:
     """Title kept; given name of the title's gender and the name's script; family name where there was one."""
     title = F.regexp_extract(normal, r"^(\S+) ", 1)
     rest = F.substring_index(normal, " ", -1)
@@ -177,7 +186,7 @@ def _name(entity: Column, normal: Column, stream: Column) -> Column:
         given = F.when((script == s) & (female == (g == "f")), _pick(names, _byte(stream, F.lit(0)))).otherwise(given)
     family = F.lit(None).cast("string")
     for s, parts in SYLLABLES.items():
-        made = F.initcap(F.concat(*[_pick(parts, _byte(stream, F.lit(i))) for i in (1, 2, 3, 4)]))
+        made = F.initcap(F.concat(*[_pick(parts, _byte(stream, F.lit(i))) for i in (1, 2, 3, 4)], _tail(stream, attempt, parts)))
         family = F.when(script == s, made).otherwise(family)
     return F.concat_ws(" ", F.regexp_extract(entity, r"^(\S+) ", 1), given, family)
 
@@ -189,19 +198,20 @@ def surrogate(entity: Column, kind: Column, normal: Column, attempt: Column, key
         domain = F.substring_index(F.lower(entity), "@", -1)
         host = F.regexp_replace(domain, r"\.[a-z]+$", "")
         top = F.regexp_extract(domain, r"(\.[a-z]+)$", 1)
-        email = F.concat(_same_class(F.substring_index(entity, "@", 1), s), F.lit("@"), let(_stream(key, F.lit("host"), host, F.lit(0)), lambda h: _same_class(host, h)), top)
+        letters, digits = list("abcdefghijklmnopqrstuvwxyz"), list("0123456789")
+        email = F.concat(_same_class(F.substring_index(entity, "@", 1), s), _tail(s, attempt, letters), F.lit("@"), let(_stream(key, F.lit("host"), host, F.lit(0)), lambda h: _same_class(host, h)), top)
         # no octet starts with 0; the first is 1 to 223
         octet = lambda i, most: (_byte(s, F.lit(i)) % most + 1).cast("string")
-        head = F.regexp_extract(entity, r"^(.*?)[\"']?[A-Za-z0-9_+/-]{8,128}[\"']?$", 1)
+        more = _tail(s, attempt, digits, "-")
         return (
             F.when(kind == "email", email)
-            .when(kind == "ipv4", F.concat_ws(".", octet(0, 223), octet(1, 254), octet(2, 254), octet(3, 254)))
-            .when(kind == "card", _splice(entity, _card(normal, s)))
-            .when(kind == "phone", _phone(entity, s))
-            .when(kind == "ssn", _ssn(s))
-            .when(kind == "aws_key", F.concat(F.lit("AKIA"), _same_class(F.substr(entity, F.lit(5)), s)))
-            .when(kind == "secret", F.replace(entity, normal, _same_class(normal, s, normal.rlike(_HEX))))
-            .otherwise(_name(entity, normal, s))
+            .when(kind == "ipv4", F.concat_ws(".", octet(0, 223), octet(1, 254), octet(2, 254), F.concat(octet(3, 254), more)))
+            .when(kind == "card", F.concat(_splice(entity, _card(normal, s)), more))
+            .when(kind == "phone", F.concat(_phone(entity, s), _tail(s, attempt, digits, " x")))
+            .when(kind == "ssn", F.concat(_ssn(s), more))
+            .when(kind == "aws_key", F.concat(F.lit("AKIA"), _same_class(F.substr(entity, F.lit(5)), s), more))
+            .when(kind == "secret", F.replace(entity, normal, F.concat(_same_class(normal, s, normal.rlike(_HEX)), _tail(s, attempt, letters))))
+            .otherwise(_name(entity, normal, s, attempt))
         )
 
     return let(_stream(key, kind, normal, attempt), of)
@@ -221,7 +231,7 @@ def _drawn_again(ents: DataFrame, key: str) -> DataFrame | None:
     """
     first = cut(ents.withColumn("attempt", F.lit(0)))
     now = first
-    for _ in range(MAX_ATTEMPTS):
+    while True:
         # written, so that the surrogates (long expressions) are planned and made once a round
         drawn = cut(now.withColumn("s", normal_form(surrogate(F.col("entity"), F.col("kind"), F.col("normal"), F.col("attempt"), key), F.col("kind"))))
         # of each surrogate the smallest holder; a surrogate that is itself an entity has none
@@ -231,8 +241,6 @@ def _drawn_again(ents: DataFrame, key: str) -> DataFrame | None:
             break
         again = bad.withColumn("more", F.lit(1))
         now = cut(now.join(again, ["kind", "normal"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("more", F.lit(0))).drop("more"))
-    else:
-        raise RuntimeError(f"surrogates still collide after {MAX_ATTEMPTS} attempts")
     return None if now is first else now.where("attempt > 0").select("kind", "normal", "attempt")
 
 

@@ -450,6 +450,17 @@ def test_surrogates_stay_distinct(spark, monkeypatch, literal):
     assert all(made[k][1] == made[(k + 1) % len(names)][0] for k in range(len(names)))
 
 
+def test_surrogates_of_full_forms(spark, monkeypatch):
+    """All one-letter addresses of a domain, and forms with nothing to replace."""
+    monkeypatch.setattr(pii, "FORM_ATTEMPTS", 1, raising=False)
+    found = [f"{a}@full.example.com" for a in "abcdefghijklmnopqrstuvwxyz"] + ["_@-.com", "password: ________", f"token={'-' * 128}"]
+    got = by_id(pii.replace_pii(spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")))
+    made = {got[k].text for k in range(len(found))}
+    assert len(made) == len(found)
+    assert not made & set(found)
+    assert all(re.fullmatch(r"[a-z]+@[a-z]{4}\.[a-z]{7}\.com", got[k].text) for k in range(26))
+
+
 def test_pii_of_odd_texts(odd, none):
     got = pii.replace_pii(odd)
     assert got.count() == odd.count()
