@@ -33,16 +33,25 @@ FORM_ATTEMPTS = 8
 _TITLES_M = r"Mr|Herr|Señor|Sr|Monsieur|г-н|господин|Κύριος"
 _TITLES_F = r"Mrs|Ms|Miss|Frau|Señora|Sra|Srta|Madame|Mme|Mlle|г-жа|госпожа|Κυρία"
 
+#: What stands between the digits of a phone number, and country codes of one and two digits (others have three).
+_GAP = r"[ .()/-]{0,2}"
+_CODE_1, _CODE_2 = "[17]", "(?:2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
+#: Numbers with a country code; where its numbers have one length, no more is taken. A signed decimal is none.
+_ABROAD = rf"\+(?![0-9]+\.[0-9]+(?![.0-9]))(?:1(?:{_GAP}[0-9]){{10}}|33(?:{_GAP}\(0\))?(?:{_GAP}[0-9]){{9}}|34(?:{_GAP}[0-9]){{9}}|(?:7|{_CODE_2}|[2-9][0-9]{{2}})(?:{_GAP}[0-9]){{6,12}})(?![0-9])"
+#: A name's word (inner capitals, apostrophes but for a possessive), and what may stand before one: initials, particles.
+_WORD = r"\p{Lu}(?:(?:['’](?!s(?!\p{L})))?[\p{L}\p{M}])++"
+_BEFORE = r"(?:\p{Lu}\.[ -]?|\p{Lu} |(?:van|von|der|den|de|del|della|di|da|dos|du|la|le|zu|zum|zur|bin|ibn|ter|ten) )*+"
+
 #: kind and pattern, in the order in which they are tried at one place.
 KINDS: tuple[tuple[str, str], ...] = (
     ("aws_key", r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"),
     ("secret", r"(?i:(?<![A-Za-z0-9])(?:token|secret|password|passwd|pwd|api_?key)[ ]?[=:][ ]?)[\"']?[A-Za-z0-9_+/-]{8,128}[\"']?"),
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"),
     ("ipv4", r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])"),
-    ("card", r"(?<![0-9])[3-6][0-9]{3}(?:[0-9]{12}|(?: [0-9]{4}){3}|(?:-[0-9]{4}){3})(?![0-9])"),
+    ("card", r"(?<![0-9])(?:[3-6][0-9]{12,18}|2[2-7][0-9]{14}|(?:[3-6][0-9]|2[2-7])[0-9]{2}(?:(?: [0-9]{4}){3}|(?:-[0-9]{4}){3})|3[0-9]{3}(?: [0-9]{6} [0-9]{4,5}|-[0-9]{6}-[0-9]{4,5}))(?![0-9])"),
     ("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"),
-    ("phone", r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|(?<![0-9(])[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
-    ("name", rf"(?<![\p{{L}}])(?:{_TITLES_M}|{_TITLES_F})\.? \p{{Lu}}\p{{Ll}}{{1,30}}(?:[ -]\p{{Lu}}\p{{Ll}}{{1,30}})?(?![\p{{L}}])"),
+    ("phone", rf"(?<![0-9+])(?:{_ABROAD}|(?:\+[0-9]{{1,3}}[ .-]?)?(?:\([0-9]{{3}}\)|(?<![0-9(])[0-9]{{3}})[ .-]?[0-9]{{3}}[ .-][0-9]{{4}}(?![0-9]))"),
+    ("name", rf"(?<![\p{{L}}])(?:{_TITLES_M}|{_TITLES_F})\.? {_BEFORE}{_WORD}(?:[ -]{_BEFORE}{_WORD})*+"),
 )
 PATTERN = "|".join(p for _, p in KINDS)
 
@@ -71,7 +80,7 @@ def kind_of(entity: Column) -> Column:
     return out
 
 
-def _luhn_sum(digits: Column, doubled: int) -> Column:
+def _luhn_sum(digits: Column, doubled: Column) -> Column:
     """Sum of the digits, those whose place from the left mod 2 is `doubled` taken twice (cross sum)."""
 
     def one(a: Column, x: Column, i: Column) -> Column:
@@ -88,7 +97,15 @@ def _digits(entity: Column) -> Column:
 
 def is_entity(entity: Column, kind: Column) -> Column:
     """False for what has the form of a card number but not its check digit."""
-    return F.when(kind == "card", _luhn_sum(_digits(entity), 0) % 10 == 0).otherwise(kind.isNotNull())
+    return F.when(kind == "card", let(_digits(entity), lambda d: _luhn_sum(d, F.length(d) % 2)) % 10 == 0).otherwise(kind.isNotNull())
+
+
+#: A trunk 0 that isn't dialled after the country code.
+_TRUNK = r"^(\+[0-9]{1,3}[ .]?)\(0\)"
+
+
+def _is_abroad(entity: Column) -> Column:
+    return entity.startswith("+") & ~entity.startswith("+1")
 
 
 def normal_form(entity: Column, kind: Column) -> Column:
@@ -97,7 +114,7 @@ def normal_form(entity: Column, kind: Column) -> Column:
     return (
         F.when(kind == "email", F.lower(entity))
         .when(kind.isin("card", "ssn"), _digits(entity))
-        .when(kind == "phone", F.concat(F.right(_digits(F.substring_index(entity, " x", 1)), F.lit(10)), F.regexp_extract(entity, " (x[0-9]+)$", 1)))
+        .when(kind == "phone", let(F.substring_index(entity, " x", 1), lambda e: F.concat(F.when(_is_abroad(e), F.concat(F.lit("+"), _digits(F.regexp_replace(e, _TRUNK, "$1")))).otherwise(F.right(_digits(e), F.lit(10))), F.regexp_extract(entity, " (x[0-9]+)$", 1))))
         .when(kind == "secret", secret)
         .when(kind == "name", F.regexp_replace(entity, r"^(\S+?)\.? ", "$1 "))
         .otherwise(entity)
@@ -153,9 +170,18 @@ def _new_digits(stream: Column, n: int) -> Column:
 
 
 def _card(normal: Column, stream: Column) -> Column:
-    """Same first digit, keyed middle, valid check digit."""
-    body = F.concat(F.left(normal, F.lit(1)), _new_digits(stream, 14))
-    return let(body, lambda b: F.concat(b, ((10 - _luhn_sum(b, 0) % 10) % 10).cast("string")))
+    """Same length and first digit (two but for 16 digits from 3 on), keyed middle, valid check digit."""
+    kept = F.when(normal.rlike("^[3-6][0-9]{15}$"), 1).otherwise(2)
+    body = F.concat(F.left(normal, kept), F.left(_new_digits(stream, 16), F.length(normal) - kept - 1))
+    return let(body, lambda b: F.concat(b, ((10 - _luhn_sum(b, (F.length(b) + 1) % 2) % 10) % 10).cast("string")))
+
+
+def _phone_abroad(entity: Column, normal: Column, stream: Column) -> Column:
+    """Country code, trunk 0 and length stay."""
+    code = F.regexp_extract(normal, rf"^\+({_CODE_1}|{_CODE_2}|[0-9]{{3}})", 1)
+    trunk = F.when(entity.rlike(_TRUNK), "0").otherwise("")
+    first = (_byte(stream, F.lit(20)) % 9 + 1).cast("string")
+    return _splice(entity, F.concat(code, trunk, first, F.left(_new_digits(stream, 14), F.length(normal) - F.length(code) - 2)))
 
 
 def _phone(entity: Column, stream: Column) -> Column:
@@ -207,7 +233,7 @@ def surrogate(entity: Column, kind: Column, normal: Column, attempt: Column, key
             F.when(kind == "email", email)
             .when(kind == "ipv4", F.concat_ws(".", octet(0, 223), octet(1, 254), octet(2, 254), F.concat(octet(3, 254), more)))
             .when(kind == "card", F.concat(_splice(entity, _card(normal, s)), more))
-            .when(kind == "phone", F.concat(_phone(entity, s), _tail(s, attempt, digits, " x")))
+            .when(kind == "phone", F.concat(F.when(_is_abroad(entity), _phone_abroad(entity, normal, s)).otherwise(_phone(entity, s)), _tail(s, attempt, digits, " x")))
             .when(kind == "ssn", F.concat(_ssn(s), more))
             .when(kind == "aws_key", F.concat(F.lit("AKIA"), _same_class(F.substr(entity, F.lit(5)), s), more))
             .when(kind == "secret", F.replace(entity, normal, F.concat(_same_class(normal, s, normal.rlike(_HEX)), _tail(s, attempt, letters))))

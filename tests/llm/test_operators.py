@@ -461,6 +461,33 @@ def test_surrogates_of_full_forms(spark, monkeypatch):
     assert all(re.fullmatch(r"[a-z]+@[a-z]{4}\.[a-z]{7}\.com", got[k].text) for k in range(26))
 
 
+def test_wider_forms(spark):
+    whole = ["Mr John Paul Smith", "Mr John McDonald", "Mr McDonald", "Mr O'Brien", "Mr J. Smith", "Mr John F. Kennedy-O’Neil", "Frau von der Leyen", "+49 30 12345678", "+49 (0)30 12345678", "+33 1 23 45 67 89", "+34 612 345 678", "+14155550101", "378282246310005", "3782 822463 10005", "2223003122003222", "4222222222222", "30569309025904", "6304000000000000018", "Mr " + "Ab" * 5000]
+    clean = ["+3.14159265", "378282246310006", "20240131123045", "4222222222223"]
+    rest = ["Mr Smith's dog", "Mr Smith I think", "Mr Smith. Then", "+33 1 23 45 67 89 2024"]
+    found = whole + clean + rest
+    got = by_id(pii.replace_pii(spark.createDataFrame(list(enumerate(f"x {f}, y" for f in found)), "doc_id long, text string")))
+    new = [got[k].text[2:-3] for k in range(len(found))]
+    for old, made in zip(whole, new):
+        assert made != old
+        if old[0].isalpha():
+            assert len(made.split()) == 3
+            assert not set(re.findall(r"\w+", old)[1:]) & set(re.findall(r"\w+", made))
+    assert new[len(whole) : len(whole) + len(clean)] == clean
+    for made, end in zip(new[-4:], ("'s dog", " I think", ". Then", " 2024")):
+        assert made.endswith(end)
+        assert "Smith" not in made
+    assert re.fullmatch(r"\+33 \d \d\d \d\d \d\d \d\d 2024", new[-1])
+    assert new[-1] == f"{new[9]} 2024"
+    digits = lambda x: re.sub(r"\D", "", x)
+    assert digits(new[8]) == "490" + digits(new[7])[2:]
+    assert digits(new[12]) == digits(new[13])
+    for k in range(12, 18):
+        d = [int(c) for c in digits(new[k])][::-1]
+        assert len(d) == len(digits(found[k]))
+        assert sum(sum(divmod(2 * x, 10)) if i % 2 else x for i, x in enumerate(d)) % 10 == 0
+
+
 def test_pii_of_odd_texts(odd, none):
     got = pii.replace_pii(odd)
     assert got.count() == odd.count()
