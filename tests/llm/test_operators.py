@@ -301,10 +301,53 @@ def test_html(page, want):
 
 
 def test_html_tree_knows_its_table():
-    table = np.array([list(map(float, line.split())) for line in html.LABELLED.strip().splitlines()])
+    table = html.labelled_table()
     assert [html.default_tree().says(tuple(r[:-1])) for r in table] == table[:, -1].tolist()
 
 
+def _words(n, w="word"):
+    return " ".join(f"{w}{k}" for k in range(n))
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (f"<nav><p>Home About</p></nav><article><p>{_words(70)}</p></article>", [_words(70)]),
+    (f"<div class='ad'><p>Buy now cheap</p></div><div><p>{_words(70)}</p></div>", [_words(70)]),
+    (f"<p>{_words(100, 'a')}</p><p>{_words(100, 'b')}</p><p>{_words(100, 'c')}</p>", [_words(100, w) for w in "abc"]),
+    (f"<div><a href=/>Home</a> <a href=/b>About</a></div><h1>My title</h1><p>{_words(20)}</p><p>{_words(5)}</p><p>{_words(60)}</p><div id='comments'><p>{_words(64, 'c')}</p><p>{_words(90, 'd')}</p></div>", ["My title", _words(20), _words(5), _words(60)]),
+    (f"<table><tr><td><a href=/>Home</a><br><a href=/b>About us</a><td><p>{_words(40)}<p>{_words(30)}</table><p><a href=/p>Privacy</a> <a href=/t>Terms</a></p>", [_words(40), _words(30)]),
+    ("<main><h1>T</h1><p>one two</p><table><tr><td>a<td>b<tr><td>c<td>d</table><p>end</main><div class='cookie-notice'><p>" + _words(80) + "</p></div>", ["T", "one two", "a", "b", "c", "d", "end"]),
+    (f"<p>{_words(30)}</p><h2>Sub</h2><p>{_words(31)}</p><ul><li>one thing</li><li>two</li></ul><p>{_words(32)}</p><ul><li><a href=1>one</a><li><a href=2>two</a></ul>", [_words(30), "Sub", _words(31), "one thing", "two", _words(32)]),
+    (f"<form id=f action=x><main><p>x y z</p></main><p>{_words(80)}</p></form>", ["x y z"]),
+    (f"<article class='post has-comments'><header><h1>Title</h1></header><p>t a</p><article class='comment'><p>{_words(64)}</p></article></article>", ["Title", "t a"]),
+    (f"<div class='no-sidebar' title='hidden menu' data-id='ad'><p>{_words(50)}</p></div><div class='main-sidebar'><p>{_words(50, 's')}</p></div>", [_words(50)]),
+    (f"<a name=top>{''.join(f'<p>{_words(40, w)}</p>' for w in 'ab')}", [_words(40, "a"), _words(40, "b")]),
+    ("<article><p>a &am<b>p; b</b> <svg><path d='x > y'/></svg>c <!-- > --><!--> d</article>", ["a &amp; b c d"]),
+    (f"<p>{_words(20)}<p class='x>{_words(30)}", [_words(20)]),
+    ("<header><p>h</p></header><footer><p>f</p></footer>", [""]),
+])
+def test_html_by_hand(page, want):
+    assert html.main_text(page) == "\n".join(want)
+
+
+@pytest.mark.parametrize("piece", ["<p title=\"", "<p ", "<!", "<!--", "<p title='", "<svg>", "<div></p>", "</p><a href=x>", "<script", "<a =", "&#", "<li><td>", "<article><p>x"])
+def test_html_malformed_pages_take_linear_time(piece):
+    import time
+
+    page = piece * (1_600_000 // len(piece))
+    began = time.process_time()
+    html.main_text(page)
+    assert time.process_time() - began < 5
+
+
+def test_html_long_page_and_clashing_columns(spark):
+    page = "<nav>n</nav><article>" + "".join(f"<p>{_words(50, f'w{k}x')}</p>" for k in range(2000)) + "</article>"
+    rows = [(1, page, 5, "x", "u"), (1, page, 5, "x", "u"), (None, None, None, None, None), (2, "", 1, "y", "")]
+    got = html.extract_main_text(spark.createDataFrame(rows, "page_id long, html string, n_chars int, text string, url string"))
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    want = "\n".join(_words(50, f"w{k}x") for k in range(2000))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "u", want, len(want))] * 2 + [(None, None, "", 0), (2, "", "", 0)], key=str)
+
+
 def test_html_of_all_pages(spark, sf):
     import html as decoder
 
