@@ -2,15 +2,19 @@
 
 A notice that may have k edits is split into k + 1 pieces; wherever it occurs, one piece at least occurs
 exactly. An Aho-Corasick automaton finds the pieces of all notices in one pass; around each hit the regex
-library's bounded-error matching looks for the notice with up to k edits and gives the span.
+library's bounded-error matching looks for the notice with up to k edits and gives the span. An edit is one code
+point more, less or other. White space, and a line break with the signs of a comment around it, counts as
+one space.
 
 Beside that, the base phrases are found word by word. Defined results: null and empty texts have no words,
-labels or spans and score 0; a span is reported once, at its best match; repeated rows give equal results;
-an empty table gives an empty result; extra columns stay, but for columns named like the results.
+labels or spans and score 0; spans are places in the text in code points, the end exclusive; of overlapping
+ones that with the fewest edits is reported; repeated rows give equal results; an empty table gives an empty
+result; extra columns stay, but for columns named like the results.
 """
 
 from __future__ import annotations
 
+from bisect import bisect
 from dataclasses import dataclass
 from functools import cache
 
@@ -48,10 +52,13 @@ NOTICES: tuple[tuple[str, str, int], ...] = (
 
 SPANS = "array<struct<label: string, start: int, end: int, edits: int>>"
 
+#: Bytes that may stand around a line break within a comment.
+_COMMENT = np.isin(np.arange(256), np.frombuffer(b"#*/;>!-%|", np.uint8))
+
 
 @dataclass
 class Scanner:
-    seeds: ahocorasick.Automaton  # piece: [(notice, offset of the piece)]
+    seeds: ahocorasick.Automaton  # piece: [(notice, offset of the piece, its length)]
     patterns: list[regex.Pattern]
     base: list[tuple[str, np.ndarray]]  # label, hashes of the phrase's words
 
@@ -63,10 +70,10 @@ def _pieces(text: str, edits: int) -> list[tuple[int, str]]:
 
 @cache
 def scanner(notices: tuple[tuple[str, str, int], ...] = NOTICES) -> Scanner:
-    found: dict[str, list[tuple[int, int]]] = {}
+    found: dict[str, list[tuple[int, int, int]]] = {}
     for n, (_, text, edits) in enumerate(notices):
         for at, piece in _pieces(text, edits):
-            found.setdefault(piece, []).append((n, at))
+            found.setdefault(piece, []).append((n, at, len(piece)))
     seeds = ahocorasick.Automaton()
     for piece, places in found.items():
         seeds.add_word(piece, places)
@@ -79,48 +86,92 @@ def scanner(notices: tuple[tuple[str, str, int], ...] = NOTICES) -> Scanner:
     return Scanner(seeds, patterns, base)
 
 
-def find_notices(low: str, offsets: np.ndarray, notices: tuple[tuple[str, str, int], ...] = NOTICES) -> list[tuple[int, int, int, int, int]]:
-    """(row, notice, start, end, edits) of a block's texts; places count bytes from the text's start.
+def fold(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, place of each in data, offsets) with blank runs of each text made one space."""
+    white = (data == 32) | ((data >= 9) & (data <= 13))
+    soft = white | _COMMENT[data]
+    edge = np.zeros(len(data), bool)
+    edge[offsets[:-1][offsets[:-1] < len(data)]] = True
+
+    def starts(inside: np.ndarray) -> np.ndarray:
+        out = inside.copy()
+        out[1:] &= ~inside[:-1] | edge[1:]
+        return out
+
+    run = np.cumsum(starts(soft))
+    broken = np.zeros(run[-1] + 1 if len(run) else 1, bool)
+    broken[run[data == 10]] = True
+    blank = white | (soft & broken[run])
+    first = starts(blank)
+    places = np.flatnonzero(~blank | first)
+    out = np.where(first, 32, data)[places].astype(np.uint8)
+    return out, places, np.searchsorted(places, offsets)
+
+
+def _matches(pattern: regex.Pattern, text: str, least: int) -> list[regex.Match]:
+    """The best match, and likewise before and after it."""
+    out, todo = [], [(0, len(text))]
+    while todo:
+        a, b = todo.pop()
+        m = pattern.search(text, a, b) if b - a >= least else None
+        if m and m.end() > m.start():
+            out.append(m)
+            todo += [(a, m.start()), (m.end(), b)]
+    return out
+
 
-    low has a character a byte, A-Z in lower case.
-    """
+def find_notices(data: np.ndarray, offsets: np.ndarray, notices: tuple[tuple[str, str, int], ...] = NOTICES) -> list[tuple[int, int, int, int, int]]:
+    """(row, notice, start, end, edits) of a block's texts (A-Z in lower case); places count code points from the text's start."""
     s = scanner(notices)
+    folded, places, edges = fold(data, offsets)
+    low = folded.tobytes()
     windows: dict[tuple[int, int], list[list[int]]] = {}
-    for last, places in s.seeds.iter(low):
-        row = int(np.searchsorted(offsets, last, "right")) - 1
-        for n, at in places:
+    for last, hits in s.seeds.iter(low.decode("latin-1")):
+        row = int(np.searchsorted(edges, last, "right")) - 1
+        for n, at, size in hits:
             _, text, edits = notices[n]
-            piece_end = last + 1
-            size = next(len(p) for a, p in _pieces(text, edits) if a == at)
-            a, b = piece_end - size - at - edits, piece_end - size - at + len(text) + edits
-            if piece_end - size < offsets[row]:
+            start = last + 1 - size
+            if start < edges[row]:
                 continue
+            # a code point that an edit changes or adds has up to four bytes
+            a, b = max(start - at - 4 * edits, int(edges[row])), min(start - at + len(text) + 4 * edits, int(edges[row + 1]))
             own = windows.setdefault((row, n), [])
-            a, b = max(a, int(offsets[row])), min(b, int(offsets[row + 1]))
             if own and a <= own[-1][1] and b - own[-1][0] <= 4 * len(text):
-                own[-1][1] = max(own[-1][1], b)
+                own[-1] = [min(own[-1][0], a), max(own[-1][1], b)]
             else:
                 own.append([a, b])
-    out = set()
+    out, chars = set(), None  # code points up to each byte
     for (row, n), own in windows.items():
+        _, text, edits = notices[n]
         for a, b in own:
-            for m in s.patterns[n].finditer(low, a, b):
-                out.add((row, n, m.start() - int(offsets[row]), m.end() - int(offsets[row]), sum(m.fuzzy_counts)))
-    return _best(sorted(out), notices)
-
-
-def _best(found: list[tuple[int, int, int, int, int]], notices: tuple[tuple[str, str, int], ...]) -> list[tuple[int, int, int, int, int]]:
+            while a < b and low[a] & 0xC0 == 0x80:
+                a += 1
+            window = low[a:b].decode("utf-8", "ignore")
+            for m in _matches(s.patterns[n], window, len(text) - edits):
+                first = a + len(window[: m.start()].encode())
+                last = first + len(m[0].encode()) - 1
+                if chars is None:
+                    chars = np.cumsum(data & 0xC0 != 0x80)
+                ahead = int(chars[offsets[row] - 1]) if offsets[row] else 0
+                out.add((row, n, int(chars[places[first]]) - 1 - ahead, int(chars[places[last]]) - ahead, sum(m.fuzzy_counts)))
+    return _best(sorted(out))
+
+
+def _best(found: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
     """Of overlapping spans of a text, those of the fewest edits (then the longest, then the first)."""
     out: list[tuple[int, int, int, int, int]] = []
     by_row: dict[int, list[tuple[int, int, int, int, int]]] = {}
     for x in found:
         by_row.setdefault(x[0], []).append(x)
     for row in sorted(by_row):
-        taken: list[tuple[int, int, int, int, int]] = []
+        taken: list[tuple[int, int]] = []  # (start, end), sorted
+        own = []
         for x in sorted(by_row[row], key=lambda x: (x[4], x[2] - x[3], x[2], x[1])):
-            if all(x[3] <= t[2] or t[3] <= x[2] for t in taken):
-                taken.append(x)
-        out += sorted(taken, key=lambda x: x[2])
+            k = bisect(taken, (x[2], x[3]))
+            if (not k or taken[k - 1][1] <= x[2]) and (k == len(taken) or x[3] <= taken[k][0]):
+                taken.insert(k, (x[2], x[3]))
+                own.append(x)
+        out += sorted(own, key=lambda x: x[2])
     return out
 
 
@@ -146,7 +197,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", keep: list[str] | None =
                     places[r].append(i - int(w.first[r]))
                     base[r].add(label)
             matched: list[list[dict]] = [[] for _ in range(rows)]
-            for r, n, a, b, edits in find_notices(LOWER[data].tobytes().decode("latin-1"), offsets, notices):
+            for r, n, a, b, edits in find_notices(LOWER[data], offsets, notices):
                 matched[r].append({"label": notices[n][0], "start": a, "end": b, "edits": edits, "_score": 1 - edits / len(notices[n][1])})
             n_words += w.counts.tolist()
             for r in range(rows):

@@ -432,17 +432,57 @@ def test_license_phrases(documents, odd, none):
     assert licenses.scan_licenses(none).count() == 0
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.integers(0, len(licenses.NOTICES) - 1), st.integers(0, 2**32), st.text("ab .", max_size=20))
-def test_notices_with_edits(n, seed, around):
-    label, notice, most = licenses.NOTICES[n]
+def _distances(notice: str, text: str) -> tuple[int, int]:
+    """(least edit distance of the notice to any part of text, and to the whole text)."""
+    some, whole = [0] * (len(text) + 1), list(range(len(text) + 1))
+    for i, c in enumerate(notice, 1):
+        for row in (some, whole):
+            before, row[0] = row[0], i
+            for j, x in enumerate(text, 1):
+                before, row[j] = row[j], min(before + (c != x), row[j] + 1, row[j - 1] + 1)
+    return min(some), whole[-1]
+
+
+def _folded(text: str) -> str:
+    return re.sub(r"[ \t-\r]+", " ", re.sub(r"[ \t-\r#*/;>!%|-]*\n[ \t-\r#*/;>!%|-]*", " ", text))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(0, len(licenses.NOTICES) - 1), st.integers(0, 2**32), st.text("ab .é漢\n#", max_size=20), st.integers(-1, 3))
+def test_notices_with_edits(n, seed, around, beyond):
+    _, notice, most = licenses.NOTICES[n]
     rng, text = random.Random(seed), list(notice)
-    for _ in range(most):
+    for _ in range(max(most + min(beyond, 1), 0) if beyond < 3 else 0):
         k = rng.randrange(len(text))
-        text[k : k + 1] = rng.choice([[], ["q"], [text[k], "q"]])
-    whole = f"{around}|{''.join(text)}|{around}"
-    found = licenses.find_notices(whole, np.array([0, len(whole)]))
-    assert any(licenses.NOTICES[f[1]][0] == label and f[4] <= most for f in found) or any(f[4] <= most for f in found)
+        text[k : k + 1] = rng.choice([[], ["é"], [text[k], "漢"], ["q"]])
+    planted = "".join(text).replace(" ", rng.choice([" ", " ", "\n * ", "\t", "  "]))
+    rows = ["", around, f"{around}|{planted}|{around}", "x" + planted]
+    data = np.frombuffer("".join(rows).encode(), np.uint8)
+    offsets = np.cumsum([0, *(len(r.encode()) for r in rows)])
+    found = licenses.find_notices(data, offsets)
+    for row, whole in enumerate(rows):
+        own = [f for f in found if f[0] == row]
+        for _, k, start, end, edits in own:  # as many edits as there are, and not too many
+            assert edits == _distances(licenses.NOTICES[k][1], _folded(whole[start:end]))[1] <= licenses.NOTICES[k][2]
+        for k, (_, wanted, limit) in enumerate(licenses.NOTICES):  # nothing is lost but to what has no more edits
+            least = _distances(wanted, _folded(whole))[0]
+            if least <= limit:
+                assert any(f[4] <= least for f in own)
+        assert all(a[3] <= b[2] for a, b in zip(own, own[1:]))
+
+
+def test_notices_by_hand(spark):
+    texts = [
+        "reléàsed ünder the mit license", "x abcreleased under the mit licenseq released under tha mit license y released undex the mxt license", "/* Licensed under the\n *  GNU General\n *  Public License */",
+        "Permission is hereby granted,\n// free of charge, to\n//\n// any person obtaining a copy", "nothing here", None, "All rights reserved. " * 3000,
+    ]
+    got = by_id(licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [got[k].labels for k in range(6)] == ["mit", "mit", "gpl", "mit", "", ""]
+    assert [tuple(x) for x in got[0].spans] == [("mit", 0, 30, 3)]
+    assert [x.edits for x in got[1].spans] == [0, 1, 2]
+    assert len(got[6].spans) == 3000
+    assert [got[k].score for k in (0, 2, 3, 4)] == [1.0, 1.0, 1.0, 0.0]
+    assert licenses.scan_licenses(spark.createDataFrame([(1, 'all rightz reserved')], 'doc_id long, text string')).first().score == 1 - 1 / 19
 
 
 # 9
