@@ -82,6 +82,113 @@ def test_toxicity_without_one_class(spark, odd, none):
     assert toxicity.score_toxicity(none, model).count() == 0
 
 
+def _plain_toxicity(texts: dict, toxic: dict) -> dict:
+    """Scores of all texts by dictionaries and a quadratic search for segments, learnt from toxic (id: label)."""
+    import struct
+
+    import xxhash
+
+    def words(t):
+        return [w.encode() for w in lettered(t or "")]
+
+    def levels(w):
+        return [(k, w[:n]) for k, n in enumerate((4, 5, 6, None))]
+
+    checked = {i for i in toxic if xxhash.xxh64(struct.pack("<q", i), seed=42).intdigest() % 4 == 0}
+    n = {0: Counter(), 1: Counter()}
+    for i in toxic.keys() - checked:
+        for w in words(texts[i]):
+            n[toxic[i]].update(levels(w))
+    total = [sum(v for (k, _), v in n[c].items() if k == 3) for c in (0, 1)]
+    share = total[1] / sum(total)
+    odds, known = {}, {}
+    for w in {w for c in n for (k, w) in n[c] if k == 3}:
+        prior, above = share, False
+        for f in levels(w):
+            a, b = n[1][f], n[0][f]
+            p = (a + 4 * prior) / (a + b + 4)
+            o = math.log(p / (1 - p)) - math.log(share / (1 - share))
+            above |= o > 1 and o >= 3.5 * math.sqrt(1 / (a + 4 * prior) + 1 / (b + 4 * (1 - prior)))
+            if above:
+                odds[f] = o
+            prior = p
+
+    def scores(t):
+        for w in words(t):
+            if w not in known:
+                known[w] = max([odds[f] for f in levels(w)[::-1] if f in odds][:1] or [0.0], default=0.0)
+        return [known[w] - 1 if known[w] > 1 else -1.0 for w in words(t)]
+
+    def segments(s):
+        """All maximal segments: the best one (the shortest of equals), then those on either side."""
+        todo, out = [(0, len(s))], []
+        while todo:
+            lo, hi = todo.pop()
+            hot = [k for k in range(lo, hi) if s[k] > 0]
+            if not hot:
+                continue
+            sums = np.concatenate([[0], np.cumsum(s[lo:hi])])
+            best = max(((sums[b + 1 - lo] - sums[a - lo], a - b, a, b) for a in hot for b in hot if a <= b), key=lambda x: (round(x[0], 9), x[1]))
+            out.append(best[0])
+            todo += [(lo, best[2]), (best[3] + 1, hi)]
+        return out
+
+    found = {i: (len(words(t)), segments(scores(t)), [round(x, 3) for x in scores(t) if x > 0]) for i, t in texts.items()}
+    clean = [found[i] for i in checked if not toxic[i]]
+    hits, tokens = [x for c in clean for x in c[2]] + [5.0], sum(c[0] for c in clean)
+    lo, hi = 1e-6, 50.0
+    for _ in range(100):
+        rate = (lo + hi) / 2
+        value = (sum(math.exp(min(rate * x, 600)) for x in hits) + (tokens + 1 - len(hits)) * math.exp(-rate)) / (tokens + 1)
+        lo, hi = (rate, hi) if value < 1 else (lo, rate)
+    rate = lo
+    tops = [(c[0], max(c[1], default=0)) for c in clean]
+    least = min([t for _, t in tops if t] or [1.0])
+    shape = (sum(t > 0 for _, t in tops) + 1) / (sum(k * math.exp(-rate * (t or least)) for k, t in tops) + 10)
+
+    def measures(i):
+        size, segs, _ = found[i]
+        x = sorted((rate * g - math.log(shape * max(size, 1)) for g in segs), reverse=True)
+        best = max([r * (math.log(r) + v) - r + math.exp(-v) for r, v in enumerate(x, 1) if math.exp(-v) < r] + [0.0])
+        return np.array([1.0, math.log1p(best), math.log1p(sum(v for v in x if v > 0))])
+
+    rows = np.array([measures(i) for i in sorted(checked)])
+    weights = toxicity._logistic(rows, np.array([toxic[i] for i in sorted(checked)], float))
+    return {i: 1 / (1 + math.exp(-min(max(float(weights @ measures(i)), -30), 30))) for i in texts}
+
+
+def test_toxicity_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.doc_id in texts}
+    want, got = _plain_toxicity(texts, toxic), by_id(queries.op1_toxicity(spark, sf))
+    assert got.keys() == want.keys()
+    assert len({round(x, 6) for x in want.values()}) > 3
+    for i, r in got.items():
+        assert r.score == pytest.approx(want[i], abs=0.01)
+        assert r.predicted == (r.score >= 0.7)
+
+
+def test_toxicity_of_odd_texts_with_a_trained_model(spark, odd, none):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.learn(docs, labels, F.lit(True))
+    assert len(model.lexicon.hash) and 0 < model.shape < 10
+    got = toxicity.score_toxicity(odd, model)
+    assert got.count() == odd.count()
+    assert {"kept", "n_words", "component_id"} <= set(got.columns)
+    assert got.where("score IS NULL OR score < 0 OR score > 1 OR predicted <> CAST(score >= 0.7 AS INT)").count() == 0
+    nothing = model.score(0.0, 0.0)
+    rows = [(r.doc_id, r.score, len(r.passages)) for r in got.collect()]
+    assert {(s, p) for i, s, p in rows if i in (1, 2, 3)} == {(nothing, 0)}  # null, empty, blank
+    assert len({s for i, s, _ in rows if i in (8, 9)}) == 1  # equal texts
+    assert toxicity.score_toxicity(none, model).count() == 0
+    bad = docs.join(labels.where("toxic = 1"), "doc_id").select("text").first().text
+    long = spark.createDataFrame([(1, "calm words " * 100_000 + bad), (2, bad + " "), (2, bad + " ")], "doc_id long, text string")
+    scored = toxicity.score_toxicity(long, model).collect()
+    assert scored[1] == scored[2]
+    assert all(p.last_word < 200_000 + len(lettered(bad)) for p in scored[0].passages)
+
+
 # 2
 
 
