@@ -20,9 +20,7 @@ import gc
 import hashlib
 import json
 import os
-import shutil
 import sys
-import tempfile
 import unicodedata
 import uuid
 from array import array
@@ -38,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relata.llm.arrow import LETTERS, LOWER, add_columns, find_words, strings, text_blocks
+from relata.llm.store import own_dir, ship_file
 
 LEXICON_WORDS = 50_000
 #: Entries of a task's summary; a word's count is too low by at most the task's tokens / SUMMARY.
@@ -316,11 +315,7 @@ def word_counts(docs: DataFrame, text: str = "text", most: int = SUMMARY) -> Dat
 
 def ship_lexicon(docs: DataFrame, path: str, text: str = "text", size: int = LEXICON_WORDS) -> tuple[str, str]:
     """Names under which executors find the tokenizer file and the lexicon compiled for docs."""
-    sc, folder = docs.sparkSession.sparkContext, tempfile.mkdtemp(prefix="relata")
-    with open(path, "rb") as f:
-        rules_name = f"bpe-{hashlib.sha256(f.read()).hexdigest()[:16]}-{uuid.uuid4().hex[:8]}.json"
-    shutil.copy(path, f"{folder}/{rules_name}")
-    sc.addFile(f"{folder}/{rules_name}")
+    spark = docs.sparkSession
     rules = Rules(path)
     back = {c: b for b, c in enumerate(rules.chars)}
     whole = (t.removesuffix(rules.end) for t in rules.vocab if t.endswith(rules.end))
@@ -335,12 +330,13 @@ def ship_lexicon(docs: DataFrame, path: str, text: str = "text", size: int = LEX
             continue
         if rules.words(word) == [word]:
             entries[w] = rules.merge(word)
-    name = f"lexicon-{uuid.uuid4().hex}.bin"
-    compile_lexicon(entries, f"{folder}/{name}")
+    made = f"{own_dir()}/lexicon-{uuid.uuid4().hex}"
+    compile_lexicon(entries, made)
     del entries, words, whole, back, frequent, rules
     gc.collect()  # the driver goes on for long
-    sc.addFile(f"{folder}/{name}")
-    return rules_name, name
+    names = ship_file(spark, path), ship_file(spark, made)
+    os.remove(made)
+    return names
 
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, ids: bool = True) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relata.llm.store import cut
+from relata.llm.store import cut, free
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,12 +16,15 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = cut(both.where("a <> b"))
-    labels = cut(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("label")))
+    before = labels = cut(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("label")))
     while True:
         near = edges.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         least = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("least"))
         jump = labels.select(F.col("id").alias("least"), F.col("label").alias("jumped"))
         new = cut(least.join(jump, "least", "left").select("id", F.least("least", F.coalesce("jumped", "least")).alias("new"), "label"))
-        if new.where("new <> label").isEmpty():
-            return labels.select("id", F.col("label").alias("component"))
-        labels = new.select("id", F.col("new").alias("label"))
+        done = new.where("new <> label").isEmpty()
+        free(labels, before)
+        if done:
+            free(edges)
+            return new.select("id", F.col("label").alias("component"))
+        before, labels = new, new.select("id", F.col("new").alias("label"))

@@ -51,7 +51,7 @@ def op4_bpe_transducer(spark: SparkSession, sf_dir: str, tokenizer: str | None =
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decontaminate.scan_benchmark(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    out = decontaminate.scan_benchmark(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), matches=False)
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 

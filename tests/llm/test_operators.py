@@ -374,10 +374,28 @@ def test_matches_and_blocks(spark, documents, sf, monkeypatch):
             item = own[m.item_id]
             assert w[m.doc_word : m.doc_word + m.n_words] == item[m.item_word : m.item_word + m.n_words]
             assert m.n_words >= min(13, len(item))
-    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 4000)
-    assert len(decontaminate._item_blocks(items, "item_id", "text")) > 2
-    several = decontaminate.scan_benchmark(documents, items)
-    assert sorted(several.select(*columns).collect()) == sorted(one.select(*columns).collect())
+            before, after = (m.item_word - 1, m.doc_word - 1), (m.item_word + m.n_words, m.doc_word + m.n_words)
+            assert not all(0 <= k < len(t) for k, t in zip(before, (item, w))) or item[before[0]] != w[before[1]]
+            assert not all(0 <= k < len(t) for k, t in zip(after, (item, w))) or item[after[0]] != w[after[1]]
+    for limits in ({"BLOCK_WORDS": 300}, {"CHUNK_WORDS": 20, "SPREAD": 64}, {"BLOCK_WORDS": 100, "PASS_WORDS": 300}):
+        with monkeypatch.context() as m:
+            for name, value in limits.items():
+                m.setattr(decontaminate, name, value)
+            assert len(decontaminate.ship_queries(items)) > ("PASS_WORDS" in limits)
+            several = decontaminate.scan_benchmark(documents, items)
+            assert sorted(several.select(*columns).collect()) == sorted(one.select(*columns).collect())
+            places = lambda df: sorted((r.doc_id, tuple(m)) for r in df.collect() for m in r.matches)
+            assert places(several) == places(one)
+    assert decontaminate.scan_benchmark(documents, items, matches=False).where("size(matches) > 0").count() == 0
+
+
+def test_decontamination_of_a_window_in_many_items(spark):
+    line = " ".join(f"w{k}" for k in range(15))
+    items = spark.createDataFrame([(k, f"{line} own{k}") for k in range(3000)] + [(None, "no id at all")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"{line} . " * 300), (2, "there is no id at all here"), (2, None), (None, line)], "doc_id long, text string").withColumns({"n_hit": F.lit("n"), "matches": F.lit("m"), "contaminated": F.lit("c")})
+    got = decontaminate.scan_benchmark(docs, items, matches=False)
+    assert sorted((r.doc_id or 0, r.n_hit, r.n_items, r.contaminated) for r in got.collect()) == [(0, 15, 3000, True), (1, 4500, 3000, True), (2, 0, 0, False), (2, 4, 0, True)]
+    assert decontaminate.decontaminate(docs, items).collect() == [(2, None, "n", "m", "c")]
 
 
 def test_decontamination_of_odd_texts(spark, odd, none):
