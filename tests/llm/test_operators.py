@@ -249,7 +249,10 @@ def test_removal(spark, texts):
     _compare_removal(spark, texts)
 
 
-def test_removal_of_planted_repeats(spark):
+@pytest.mark.parametrize("hot", [16, 1, 0])
+def test_removal_of_planted_repeats(spark, monkeypatch, hot):
+    """With few anchors split, with many, and with all."""
+    monkeypatch.setattr(substrings, "HOT", hot)
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9)))
     passages = [" ".join(word() for _ in range(60)) for _ in range(4)]
@@ -264,6 +267,17 @@ def test_removal_of_planted_repeats(spark):
     _compare_removal(spark, texts)
 
 
+def test_removal_of_a_passage_in_very_many_texts(spark):
+    """The edges of the passage are hot: each text has a context of its own there."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage = " ".join(word(5) for _ in range(50))
+    texts = {k: word(rng.randint(0, 200)) + passage[rng.choice([0, 0, 40]) :] + word(rng.randint(0, 150)) for k in range(400)}
+    _compare_removal(spark, texts)
+    few = {k: t for k, t in texts.items() if k % 50 == 0}  # a task with few contexts beside one with many
+    _compare_removal(spark, {**{k + 1000: t for k, t in texts.items()}, **few})
+
+
 def test_removal_of_odd_texts(odd, none):
     got = substrings.remove_repeated(odd)
     assert got.count() == odd.count()
