@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relata.llm.store import cut, free
+from relata.llm.store import cut, free, same_table
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -26,5 +26,5 @@ def components(links: DataFrame) -> DataFrame:
         free(labels, before)
         if done:
             free(edges)
-            return new.select("id", F.col("label").alias("component"))
+            return same_table(new, new.select("id", F.col("label").alias("component")))
         before, labels = new, new.select("id", F.col("new").alias("label"))

@@ -94,6 +94,12 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def same_table(table: DataFrame, view: DataFrame) -> DataFrame:
+    """view (a select of table), which stands for the table of cut() from now on."""
+    _PATHS[view] = _PATHS.pop(table)
+    return view
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     files, at = _at(spark, path)
     files.delete(at, True)

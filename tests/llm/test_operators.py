@@ -898,8 +898,8 @@ def test_near_duplicates_of_planted_groups(spark):
     _compare_components(spark, texts)
 
 
-def test_family_blocks_of_several_parts(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "PART_CLASSES", 40)
+def test_large_nodes_of_several_representatives(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "STAR", 20)
     test_near_duplicates_of_planted_groups(spark)
 
 
