@@ -9,10 +9,10 @@ of one tree with probability 0.60, of any of 12 trees with 0.99998; more similar
 Small nodes are compared exhaustively. Large ones hold groups of near copies: their classes are compared with a
 representative (of up to ``STAR`` classes each, and the representatives with one of them), so that most become members
 of its component. From then on a node's size is the number of its classes outside of the largest component: up to
-``SMALL``, each of these is compared with all of other components; beyond, the node is branched on, ``STEP`` levels at a
-time, and its children are treated alike: until all are small, or of one component, or (which minwise tokens can't
-tell apart) of one signature. So a class has at most ``SMALL`` pairs in a node, and no group is written out pair by
-pair. Pairs are first held against an estimate from the signatures, loose by 4.6 standard deviations, then
+``STRAYS``, each of these is compared with all of other components; beyond, they are compared with ``SAMPLES`` of that
+component, the node is branched on, ``STEP`` levels at a time, and its children are treated alike: until all are
+small, or of one component, or (which minwise tokens can't tell apart) of one signature. So a class has at most
+``STRAYS`` pairs in a node, and no group is written out pair by pair. Pairs are first held against an estimate from the signatures, loose by 4.6 standard deviations, then
 confirmed on the full sets, and links give components.
 
 Defined results: null and empty texts and those without words have empty sets, link with nothing and are
@@ -38,8 +38,10 @@ PERCENT = 75
 SIGNATURE = 64
 TREES = 12
 DEPTH = 3
-#: Most classes of a small node, but for those of its largest component.
-SMALL = 16
+#: Most classes of a small node beside one; and, once there are components, beside the largest of them.
+SMALL, STRAYS = 16, 128
+#: Classes of a large node's largest component that its other classes are compared with.
+SAMPLES = 16
 #: Levels that a large node is branched on at once.
 STEP = 2
 #: Most classes of a large node that are compared with one representative.
@@ -120,28 +122,25 @@ def _branch(df: DataFrame, levels: int) -> DataFrame:
 
 
 def _mixed(entries: DataFrame, found: DataFrame | None) -> DataFrame:
-    """(node, cid, sh, component, n, strays, largest) of nodes with several components; without `found` each class is a component.
-
-    strays: the node's classes outside of its largest component.
-    """
+    """(node, cid, sh, component, n, largest, small) of nodes with several components; without `found` each class is a component."""
     if found is None:
         own = entries.withColumn("component", F.col("cid"))
-        sizes = own.groupBy("node").agg(F.count("*").alias("n"), F.min("cid").alias("largest")).where("n > 1").withColumn("strays", F.col("n") - 1)
+        sizes = own.groupBy("node").agg(F.count("*").alias("n"), F.min("cid").alias("largest")).where("n > 1").withColumn("small", F.col("n") - 1 <= SMALL)
     else:
         own = entries.join(found.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
         parts = own.groupBy("node", "component").agg(F.count("*").alias("m"), F.min("sh").alias("s0"), F.max("sh").alias("s1"))
         sizes = parts.groupBy("node").agg(F.sum("m").alias("n"), F.max(F.struct("m", "component")).alias("top"), F.min("s0").alias("s0"), F.max("s1").alias("s1"))
-        sizes = sizes.withColumn("strays", F.col("n") - F.col("top.m")).withColumn("largest", F.col("top.component"))
+        sizes = sizes.withColumn("largest", F.col("top.component")).withColumn("small", F.col("n") - F.col("top.m") <= STRAYS)
         # many classes of one signature stay together however far a node is branched on
-        sizes = sizes.where((F.col("strays") > 0) & ((F.col("strays") <= SMALL) | (F.col("s0") != F.col("s1"))))
-    return own.join(sizes.select("node", "n", "strays", "largest"), "node")
+        sizes = sizes.where((F.col("n") > F.col("top.m")) & (F.col("small") | (F.col("s0") != F.col("s1"))))
+    return own.join(sizes.select("node", "n", "largest", "small"), "node")
 
 
 def _node_pairs(nodes: DataFrame, turn: int) -> DataFrame:
     """Candidates (a, b), a < b, of different components: all of small nodes, those with representatives of large ones (others each turn)."""
     parts = F.ceil(F.col("n") / STAR)
     dealt = nodes.withColumns({"parts": parts, "part": F.pmod(F.xxhash64("cid"), parts)})
-    small, large = dealt.where(F.col("strays") <= SMALL), dealt.where(F.col("strays") > SMALL)
+    small, large = dealt.where("small"), dealt.where("NOT small")
     # each class of a small node with the few outside of the largest component
     few = small.where("component <> largest").groupBy("node", "parts").agg(F.collect_set(F.struct("cid", "component")).alias("few"))
     few = few.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
@@ -151,7 +150,13 @@ def _node_pairs(nodes: DataFrame, turn: int) -> DataFrame:
     first = chosen.groupBy("node").agg(F.min("p").alias("f"))
     stars = large.join(chosen, ["node", "part"]).where("component <> p.component").select(F.col("p.cid").alias("x"), F.col("cid").alias("y"))
     heads = chosen.join(first, "node").where("p.component <> f.component").select(F.col("f.cid").alias("x"), F.col("p.cid").alias("y"))
-    return pairs.unionByName(stars).unionByName(heads).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = pairs.unionByName(stars).unionByName(heads)
+    if turn:
+        drawn = F.xxhash64("cid", F.lit(turn))
+        samples = large.where("component = largest").groupBy("node", F.pmod(drawn, F.lit(SAMPLES)).alias("k")).agg(F.min(F.struct(drawn, "cid")).alias("s"))
+        samples = samples.groupBy("node").agg(F.collect_list("s.cid").alias("s"))
+        pairs = pairs.unionByName(large.where("component <> largest").join(samples, "node").select(F.col("cid").alias("x"), F.explode("s").alias("y")))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, least: int = LEAST_EQUAL) -> DataFrame:
@@ -201,49 +206,36 @@ def _texts(docs: DataFrame, cids: DataFrame, text: str, doc_id: str) -> DataFram
     return cut(docs.select(F.col(doc_id).cast("long").alias("cid"), F.col(text).alias("text")).join(cids.distinct().hint("merge"), "cid", "left_semi"))
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, links: DataFrame | None, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(links, components): links, and those of the likely pairs (a, b, equal) that join further classes.
-
-    First each class with the likely one of the smallest id, which links most groups as a star; then what lies across.
-    """
-    star = pairs.where(F.col("equal") >= LIKELY_EQUAL).groupBy("b").agg(F.min("a").alias("a"))
-    new = cut(_confirmed(star, texts, percent))
-    links = new if links is None else links.unionByName(new)
-    found = components(links)
-    new = cut(_confirmed(_across(pairs, found), texts, percent))
-    if new.isEmpty():
-        free(new)
-        return links, found
-    free(found)
-    links = links.unionByName(new)
-    return links, components(links)
-
-
 def links_and_components(classes: DataFrame, docs: DataFrame, text: str, doc_id: str, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) that join classes (cid, sig), and the (id, component) of those that have one."""
     nodes = cut(_mixed(_branch(classes, DEPTH), None))
     pairs = cut(_likely(_node_pairs(nodes, 0), classes))
     texts = _texts(docs, pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))), text, doc_id)
-    links, found = _linked(pairs, texts, None, percent)
+    # first each class with the likely one of the smallest id, which links most groups as a star; then what lies across
+    star = pairs.where(F.col("equal") >= LIKELY_EQUAL).groupBy("b").agg(F.min("a").alias("a"))
+    links = cut(_confirmed(star, texts, percent))
+    found = components(links)
+    new, turn = cut(_confirmed(_across(pairs, found), texts, percent)), 0
     free(pairs, texts)
-    texts, turn = None, 0
+    texts = None
     while True:
+        if not new.isEmpty():
+            before, links = found, links.unionByName(new)
+            found = components(links)
+            free(before)
         turn += 1
-        level = cut(_mixed(nodes.where(F.col("strays") > SMALL).select("node", "cid", "sh"), found))
+        level = cut(_mixed(nodes.where("NOT small").select("node", "cid", "sh"), found))
         free(nodes)
         if level.isEmpty():
             free(level, *[texts] * (texts is not None))
             return links, found
         if texts is None:  # later turns' classes are among these
             texts = _texts(docs, level.select("cid"), text, doc_id)
-        large = level.where(F.col("strays") > SMALL).select("node", "cid")
+        large = level.where("NOT small").select("node", "cid")
         below = _mixed(_branch(large.join(classes.select("cid", "sig"), "cid"), STEP), found)
-        nodes = cut(level.where(F.col("strays") <= SMALL).unionByName(below))
+        nodes = cut(level.where("small").unionByName(below))
         pairs = cut(_likely(_node_pairs(nodes, turn), classes))
-        if not pairs.isEmpty():
-            before = found
-            links, found = _linked(pairs, texts, links, percent)
-            free(before)
+        new = cut(_confirmed(pairs, texts, percent))
         free(level, pairs)
 
 
