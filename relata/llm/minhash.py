@@ -6,14 +6,14 @@ two of the tokens' places (so that 1 / ``THRESHOLD`` are chosen on average), and
 child that each chosen token names. Two classes of similarity ``THRESHOLD`` share a node at depth ``DEPTH``
 of one tree with probability 0.60, of any of 12 trees with 0.99998; more similar ones all but always.
 
-Small nodes are compared exhaustively. Large ones hold groups of near copies: their classes are compared with a
-representative (of up to ``STAR`` classes each, and the representatives with one of them), so that most become members
-of its component. From then on a node's size is the number of its classes outside of the largest component: up to
-``STRAYS``, each of these is compared with all of other components; beyond, they are compared with ``SAMPLES`` of that
-component, the node is branched on, ``STEP`` levels at a time, and its children are treated alike: until all are
-small, or of one component, or (which minwise tokens can't tell apart) of one signature. So a class has at most
-``STRAYS`` pairs in a node, and no group is written out pair by pair. Pairs are first held against an estimate from the signatures, loose by 4.6 standard deviations, then
-confirmed on the full sets, and links give components.
+Nodes of up to ``SMALL`` classes are compared exhaustively. In larger ones, which hold groups of near
+copies, all are compared with the smallest. Pairs are first held against an estimate from the signatures,
+loose by 4.6 standard deviations, then confirmed on the full sets, and links give components. Large nodes
+that still hold several components (near copies just under the threshold, mostly) hardly come apart by
+branching: they are joined into families, and the classes outside of a family's largest component are compared
+with all of it, in blocks of bounded size, by products of incidence matrices, of which only links that join
+components come out. So no group is written out pair by pair. A member of a large node with fewer than
+``FAMILY_EQUAL`` places in common with the node's smallest class isn't of its family there and depends on other nodes.
 
 Defined results: null and empty texts and those without words have empty sets, link with nothing and are
 kept; repeated rows share their component; rows of one id stand or fall together; a null id has no component
@@ -38,16 +38,16 @@ PERCENT = 75
 SIGNATURE = 64
 TREES = 12
 DEPTH = 3
-#: Most classes of a small node beside one; and, once there are components, beside the largest of them.
-SMALL, STRAYS = 16, 128
-#: Classes of a large node's largest component that its other classes are compared with.
-SAMPLES = 16
-#: Levels that a large node is branched on at once.
-STEP = 2
-#: Most classes of a large node that are compared with one representative.
-STAR = 4096
+SMALL = 16
+#: About so many classes and shingles are in a part of a family.
+PART_CLASSES = 512
+PART_SHINGLES = 250_000
 #: Pairs of texts that are confirmed at once.
 CONFIRM_ROWS = 512
+#: A shingle in so many sets of a block is a column of the dense product.
+DENSE = 32
+#: Equal places that connect a class with its node's pivot in a family.
+FAMILY_EQUAL = 20
 #: Equal places of two signatures that make a candidate; similarity 0.75 gives 48 +- 3.5.
 LEAST_EQUAL = 32
 #: Equal places from which a pair is tried first.
@@ -100,7 +100,7 @@ def _signature_rows(column: pa.Array) -> np.ndarray:
 
 
 def _branch(df: DataFrame, levels: int) -> DataFrame:
-    """(node, cid, sh) `levels` below the rows' node (of all trees' roots if they have none); rows have cid and sig, sh is the signature's hash."""
+    """(node, cid) `levels` below the rows' node (of all trees' roots if they have none); rows have cid and sig."""
     rooted = "node" in df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,55 +108,31 @@ def _branch(df: DataFrame, levels: int) -> DataFrame:
             if not len(batch):
                 continue
             cid, sig = batch.column(0).to_numpy(zero_copy_only=False), _signature_rows(batch.column(1))
-            sh = batch.column(2).to_numpy(zero_copy_only=False)
             if rooted:
-                row, node = np.arange(len(cid)), batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64)
+                row, node = np.arange(len(cid)), batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
             else:
                 row, node = np.repeat(np.arange(len(cid)), TREES), np.tile(mix(np.arange(1, TREES + 1, dtype=np.uint64)), len(cid))
             for _ in range(levels):
                 parent, node = _children(node, row, sig)
                 row = row[parent]
-            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(cid[row]), pa.array(sh[row])], ["node", "cid", "sh"])
-
-    return df.select("cid", "sig", F.xxhash64("sig").alias("sh"), *["node"] * rooted).mapInArrow(run, "node long, cid long, sh long")
-
-
-def _mixed(entries: DataFrame, found: DataFrame | None) -> DataFrame:
-    """(node, cid, sh, component, n, largest, small) of nodes with several components; without `found` each class is a component."""
-    if found is None:
-        own = entries.withColumn("component", F.col("cid"))
-        sizes = own.groupBy("node").agg(F.count("*").alias("n"), F.min("cid").alias("largest")).where("n > 1").withColumn("small", F.col("n") - 1 <= SMALL)
-    else:
-        own = entries.join(found.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-        parts = own.groupBy("node", "component").agg(F.count("*").alias("m"), F.min("sh").alias("s0"), F.max("sh").alias("s1"))
-        sizes = parts.groupBy("node").agg(F.sum("m").alias("n"), F.max(F.struct("m", "component")).alias("top"), F.min("s0").alias("s0"), F.max("s1").alias("s1"))
-        sizes = sizes.withColumn("largest", F.col("top.component")).withColumn("small", F.col("n") - F.col("top.m") <= STRAYS)
-        # many classes of one signature stay together however far a node is branched on
-        sizes = sizes.where((F.col("n") > F.col("top.m")) & (F.col("small") | (F.col("s0") != F.col("s1"))))
-    return own.join(sizes.select("node", "n", "largest", "small"), "node")
-
-
-def _node_pairs(nodes: DataFrame, turn: int) -> DataFrame:
-    """Candidates (a, b), a < b, of different components: all of small nodes, those with representatives of large ones (others each turn)."""
-    parts = F.ceil(F.col("n") / STAR)
-    dealt = nodes.withColumns({"parts": parts, "part": F.pmod(F.xxhash64("cid"), parts)})
-    small, large = dealt.where("small"), dealt.where("NOT small")
-    # each class of a small node with the few outside of the largest component
-    few = small.where("component <> largest").groupBy("node", "parts").agg(F.collect_set(F.struct("cid", "component")).alias("few"))
-    few = few.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
-    across = F.filter("few", lambda x: x["component"] != F.col("component"))
-    pairs = small.join(few, ["node", "part"]).select(F.col("cid").alias("x"), F.explode(F.transform(across, lambda x: x["cid"])).alias("y"))
-    chosen = large.groupBy("node", "part").agg(F.min(F.struct(F.xxhash64("cid", F.lit(turn)), "cid", "component")).alias("p"))
-    first = chosen.groupBy("node").agg(F.min("p").alias("f"))
-    stars = large.join(chosen, ["node", "part"]).where("component <> p.component").select(F.col("p.cid").alias("x"), F.col("cid").alias("y"))
-    heads = chosen.join(first, "node").where("p.component <> f.component").select(F.col("f.cid").alias("x"), F.col("p.cid").alias("y"))
-    pairs = pairs.unionByName(stars).unionByName(heads)
-    if turn:
-        drawn = F.xxhash64("cid", F.lit(turn))
-        samples = large.where("component = largest").groupBy("node", F.pmod(drawn, F.lit(SAMPLES)).alias("k")).agg(F.min(F.struct(drawn, "cid")).alias("s"))
-        samples = samples.groupBy("node").agg(F.collect_list("s.cid").alias("s"))
-        pairs = pairs.unionByName(large.where("component <> largest").join(samples, "node").select(F.col("cid").alias("x"), F.explode("s").alias("y")))
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(cid[row])], ["node", "cid"])
+
+    return df.select("cid", "sig", *["node"] * rooted).mapInArrow(run, "node long, cid long")
+
+
+def _crowded(entries: DataFrame) -> DataFrame:
+    """(node, cid, n, pivot) of nodes with two classes or more."""
+    sizes = entries.groupBy("node").agg(F.count("*").alias("n"), F.min("cid").alias("pivot")).where("n > 1")
+    return entries.join(sizes, "node")
+
+
+def _node_pairs(nodes: DataFrame) -> DataFrame:
+    """Candidates (a, b), a < b: all of small nodes, those with the pivot of large ones."""
+    small = nodes.where(F.col("n") <= SMALL).groupBy("node").agg(F.sort_array(F.collect_set("cid")).alias("c"))
+    each = F.flatten(F.transform("c", lambda a, i: F.transform(F.slice(F.col("c"), i + 2, SMALL), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    pairs = small.select(F.explode(each).alias("p")).select("p.a", "p.b")
+    stars = nodes.where((F.col("n") > SMALL) & (F.col("cid") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("cid").alias("b"))
+    return pairs.unionByName(stars).distinct()
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, least: int = LEAST_EQUAL) -> DataFrame:
@@ -206,44 +182,127 @@ def _texts(docs: DataFrame, cids: DataFrame, text: str, doc_id: str) -> DataFram
     return cut(docs.select(F.col(doc_id).cast("long").alias("cid"), F.col(text).alias("text")).join(cids.distinct().hint("merge"), "cid", "left_semi"))
 
 
-def links_and_components(classes: DataFrame, docs: DataFrame, text: str, doc_id: str, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) that join classes (cid, sig), and the (id, component) of those that have one."""
-    nodes = cut(_mixed(_branch(classes, DEPTH), None))
-    pairs = cut(_likely(_node_pairs(nodes, 0), classes))
-    texts = _texts(docs, pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))), text, doc_id)
-    # first each class with the likely one of the smallest id, which links most groups as a star; then what lies across
-    star = pairs.where(F.col("equal") >= LIKELY_EQUAL).groupBy("b").agg(F.min("a").alias("a"))
-    links = cut(_confirmed(star, texts, percent))
-    found = components(links)
-    new, turn = cut(_confirmed(_across(pairs, found), texts, percent)), 0
-    free(pairs, texts)
-    texts = None
-    while True:
-        if not new.isEmpty():
-            before, links = found, links.unionByName(new)
-            found = components(links)
-            free(before)
-        turn += 1
-        level = cut(_mixed(nodes.where("NOT small").select("node", "cid", "sh"), found))
-        free(nodes)
-        if level.isEmpty():
-            free(level, *[texts] * (texts is not None))
-            return links, found
-        if texts is None:  # later turns' classes are among these
-            texts = _texts(docs, level.select("cid"), text, doc_id)
-        large = level.where("NOT small").select("node", "cid")
-        below = _mixed(_branch(large.join(classes.select("cid", "sig"), "cid"), STEP), found)
-        nodes = cut(level.where("small").unionByName(below))
-        pairs = cut(_likely(_node_pairs(nodes, turn), classes))
-        new = cut(_confirmed(pairs, texts, percent))
-        free(level, pairs)
+def _intersections(sets: list[np.ndarray], few: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets `few` (indices) with all sets.
+
+    Tokens of one set count nothing. Those of many sets are columns of a dense product; those of some sets
+    add one to each pair of their sets.
+    """
+    m, k = len(sets), len(few)
+    place = np.full(m, -1)
+    place[few] = np.arange(k)
+    token = np.concatenate(sets)
+    row = np.repeat(np.arange(m), [len(s) for s in sets])
+    order = np.lexsort((row, token))
+    token, row = token[order], row[order]
+    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    size = np.diff(np.append(first, len(token)))
+    out = np.zeros(k * m, np.float32)
+    for n in np.unique(size[(size > 1) & (size < DENSE)]):
+        rows = row[first[size == n][:, None] + np.arange(n)]
+        for part in np.array_split(rows, max(1, rows.size * n >> 19)):
+            pairs = place[part][:, :, None] * m + part[:, None, :]
+            pairs = pairs[place[part] >= 0]  # those of the few
+            out += np.bincount(pairs.ravel(), minlength=k * m).astype(np.float32)
+    out = out.reshape(k, m)
+    dense = np.flatnonzero(size >= DENSE)
+    for some in np.array_split(dense, max(1, -(-len(dense) // 2048))) if len(dense) else []:
+        holds = np.zeros((m, len(some)), np.float32)
+        for c, t in enumerate(some):
+            holds[row[first[t] : first[t] + size[t]], c] = 1
+        out += holds[few] @ holds.T
+    return out
+
+
+def _spanning_links(cids: np.ndarray, component: np.ndarray, few: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links of the classes `few` (indices) with those of other components, as many as join them."""
+    names, comp = np.unique(component, return_inverse=True)
+    n = np.array([len(s) for s in sets])
+    both = _intersections(sets, few)
+    x, y = np.nonzero((100 * both >= percent * (n[few][:, None] + n[None, :] - both)) & (comp[few][:, None] != comp[None, :]))
+    parent = list(range(len(names)))
+
+    def top(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    out = []
+    for a, b in zip(few[x].tolist(), y.tolist()):
+        i, j = top(comp[a]), top(comp[b])
+        if i != j:
+            parent[i] = j
+            out.append((int(cids[a]), int(cids[b])))
+    return out
+
+
+def _family_blocks(nodes: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame | None:
+    """(family, i, j, few, cid, component): the blocks in which large nodes of several components are compared; None if there are none.
+
+    A family is what likely pairs with the nodes' pivots connect. Its classes outside of the largest component
+    (few) and all of its classes are cut into parts of bounded size; a block is part i of the few with part j of all.
+    """
+    label = found.select(F.col("id").alias("cid"), "component")
+    own = cut(nodes.join(label, "cid", "left").select("node", "cid", "pivot", F.coalesce("component", "cid").alias("component")))
+    mixed = own.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("node")
+    stars = own.where("cid <> pivot").join(mixed, "node").select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct()
+    near = cut(_likely(stars, classes, FAMILY_EQUAL))
+    free(own)
+    if near.isEmpty():
+        free(near)
+        return None
+    families = components(near.select("a", "b"))
+    members = families.select(F.col("id").alias("cid"), F.col("component").alias("family"))
+    members = members.join(label, "cid", "left").join(classes.select("cid", "n_shingles"), "cid").withColumn("component", F.coalesce("component", "cid"))
+    members = cut(members)
+    free(near, families)
+    parts = lambda n, m: F.greatest(F.ceil(n / PART_CLASSES), F.ceil(m / PART_SHINGLES))
+    sizes = members.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m"))
+    sizes = sizes.groupBy("family").agg(F.max(F.struct("n", "m", "component")).alias("top"), F.sum("n").alias("n"), F.sum("m").alias("m")).where("n > top.n")
+    sizes = sizes.select("family", F.col("top.component").alias("largest"), parts(F.col("n") - F.col("top.n"), F.col("m") - F.col("top.m")).alias("few_parts"), parts(F.col("n"), F.col("m")).alias("parts"))
+    dealt = members.join(sizes, "family")
+    own_part = lambda n: F.pmod(F.xxhash64("cid"), F.col(n))
+    other = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    few = dealt.where("component <> largest").select("family", own_part("few_parts").alias("i"), other("parts").alias("j"), F.lit(True).alias("few"), "cid", "component")
+    every = dealt.select("family", other("few_parts").alias("i"), own_part("parts").alias("j"), F.lit(False).alias("few"), "cid", "component")
+    return few.unionByName(every)
+
+
+def _compare_blocks(blocks: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components, found on full sets within blocks."""
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        cids, component, few = (block.column(c).to_numpy() for c in ("cid", "component", "few"))
+        links = _spanning_links(cids, component, np.flatnonzero(few), set_list(block.column("text").combine_chunks()), percent) if few.any() else []
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return blocks.join(texts, "cid").groupBy("family", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs."""
     signed = cut(signatures(docs, text, doc_id))
     classes = cut(signed.where("n_shingles > 0").groupBy("n_shingles", "fp0", "fp1").agg(F.min("doc_id").alias("cid"), F.min("sig").alias("sig")))
-    _, found = links_and_components(classes.where("cid IS NOT NULL").select("cid", "sig"), docs, text, doc_id, percent)
+    own = classes.where("cid IS NOT NULL").select("cid", "sig", "n_shingles")
+    nodes = cut(_crowded(_branch(own, DEPTH)))
+    pairs = cut(_likely(_node_pairs(nodes), own))
+    ends = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid")))
+    texts = _texts(docs, ends, text, doc_id)
+    # first each class with the smallest likely one, which links most groups as a star; then what lies across
+    star = pairs.where(F.col("equal") >= LIKELY_EQUAL).groupBy("b").agg(F.min("a").alias("a"))
+    links = cut(_confirmed(star, texts, percent))
+    found = components(links)
+    links = links.unionByName(cut(_confirmed(_across(pairs, found), texts, percent)))
+    free(found, pairs, texts)
+    found = components(links)
+    blocks = _family_blocks(nodes.where(F.col("n") > SMALL).select("node", "cid", "pivot"), own, found)
+    if blocks is not None:
+        blocks = cut(blocks)
+        texts = _texts(docs, blocks.select("cid"), text, doc_id)
+        links = links.unionByName(cut(_compare_blocks(blocks, texts, percent)))
+        free(found, blocks, texts)
+        found = components(links)
     named = classes.drop("sig").join(found.select(F.col("id").alias("cid"), "component"), "cid", "left").select("n_shingles", "fp0", "fp1", F.coalesce("component", "cid").alias("component_id"))
     out = signed.drop("sig").join(named, ["n_shingles", "fp0", "fp1"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

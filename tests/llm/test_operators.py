@@ -898,11 +898,32 @@ def test_near_duplicates_of_planted_groups(spark):
     _compare_components(spark, texts)
 
 
-def test_large_nodes_of_several_representatives(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "STAR", 20)
+def test_family_blocks_of_several_parts(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "PART_CLASSES", 40)
     test_near_duplicates_of_planted_groups(spark)
 
 
+def test_recall_by_similarity(spark):
+    """Pairs that no third document connects, by bands of similarity."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    texts, pairs = {}, []
+    for k in range(0, 2400, 2):
+        w = [word() for _ in range(100)]
+        v = list(w)
+        for at in rng.sample(range(100), rng.randint(1, 3)):
+            v[at] = word()
+        texts[k], texts[k + 1] = " ".join(w), " ".join(v)
+        a, b = shingles(texts[k]), shingles(texts[k + 1])
+        pairs.append((k, len(a & b) / len(a | b)))
+    got = by_id(minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
+    for lo, hi in ((0.75, 0.8), (0.8, 0.9), (0.9, 1.0)):
+        hits = [got[k + 1].component_id == k for k, j in pairs if lo <= j < hi]
+        assert len(hits) > 40
+        assert sum(hits) / len(hits) >= 0.99
+    assert not any(got[k + 1].component_id == k for k, j in pairs if j < 0.75)
+
+
 def test_near_duplicates_of_odd_texts(odd, none):
     got = minhash.near_duplicates(odd)
     assert got.count() == odd.count()
