@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relata.functions import arith
 from relata.operators import relational as r
-from relata.plans import planner
+from relata.plans import engine, planner, sql
 from relata.plans.statistics import Statistics
-from relata.sources import storage, tables, text
+from relata.sources import catalog, storage, tables, text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -140,18 +139,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _arithmetic(name: str, function: str, sql: str, grammar: str = "standard") -> None:
-    """name on the first orders, as its SQL has it; name_whole on every row of lineitem."""
-
-    def values(l: DataFrame) -> DataFrame:  # noqa: E741
-        return l.select("l_orderkey", "l_linenumber", arith.to_column(function, l.schema, grammar).alias("value"))
-
-    @_query(name, f"SELECT l_orderkey, l_linenumber, {sql} AS value FROM lineitem WHERE l_orderkey < 50")
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return values(r.select(tables.load(spark, sf_dir, "lineitem"), "(l_orderkey < 50)"))
+    """name_whole: an expression on every row of lineitem."""
 
     @_query(f"{name}_whole", f"SELECT l_orderkey, l_linenumber, {sql} AS value FROM lineitem")
-    def run_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return values(tables.load(spark, sf_dir, "lineitem"))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        l = tables.load(spark, sf_dir, "lineitem")  # noqa: E741
+        return l.select("l_orderkey", "l_linenumber", arith.to_column(function, l.schema, grammar).alias("value"))
 
 
 _arithmetic("int_div", "-l_orderkey / 7", "-l_orderkey // 7")
@@ -186,45 +179,50 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.join(l, o, "(l_orderkey = o_orderkey) AND (l_extendedprice > o_totalprice OR l_discount < l_tax)").agg(F.count("*").alias("n"))
 
 
-def _ranked(df: DataFrame, keys: list[Column]) -> DataFrame:
-    """Rows with their places in a sort order. The places are one task's work by nature: for small tables."""
-    return df.withColumn("place", F.row_number().over(Window.orderBy(*keys)).cast("long"))
+def _sorted(spark: SparkSession, df: DataFrame, keys: list[str], descending: bool = False) -> DataFrame:
+    """Rows with the places at which the sort operator lays them."""
+    return r.places(r.sort(df, keys, descending), storage.scratch_path(spark) + "/rows")
 
 
 @_query("sort_multi", "SELECT n_regionkey, n_name, CAST(row_number() OVER (ORDER BY n_regionkey, n_name) AS BIGINT) AS place FROM nation")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = r.project(tables.load(spark, sf_dir, "nation"), ["n_regionkey", "n_name"])
-    return _ranked(n, [F.col("n_regionkey"), F.col("n_name")])
+    return _sorted(spark, n, ["n_regionkey", "n_name"])
 
 
 @_query("sort_descending", "SELECT s_acctbal, s_suppkey, CAST(row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey DESC) AS BIGINT) AS place FROM supplier")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = r.project(tables.load(spark, sf_dir, "supplier"), ["s_acctbal", "s_suppkey"])
-    return _ranked(s, [F.desc("s_acctbal"), F.desc("s_suppkey")])
+    return _sorted(spark, s, ["s_acctbal", "s_suppkey"], descending=True)
 
 
 @_query("sort_schema_order", "SELECT s_suppkey, CAST(row_number() OVER (ORDER BY s_suppkey, s_nationkey, s_acctbal, s_name) AS BIGINT) AS place FROM supplier")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = tables.load(spark, sf_dir, "supplier")
-    return _ranked(s, [F.col(c) for c in r.schema_order(s)]).select("s_suppkey", "place")
+    return _sorted(spark, s, r.schema_order(s)).select("s_suppkey", "place")
 
 
-@_query("sort_rows", "SELECT o_totalprice, o_custkey FROM orders")
+@_query("sort_places", "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS BIGINT) AS place FROM orders")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.sort(r.project(tables.load(spark, sf_dir, "orders"), ["o_totalprice", "o_custkey"]), "(o_totalprice) AND (o_custkey)")
+    return _sorted(spark, r.project(tables.load(spark, sf_dir, "orders"), ["o_totalprice", "o_orderkey"]), ["o_totalprice", "o_orderkey"]).select("o_orderkey", "place")
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A folder for stored tables: under spark.checkpoint.dir where that is set."""
-    import uuid
+@_query("sortedness", "SELECT CAST(0 AS BIGINT) AS sorted_rows, TRUE AS others")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, path = tables.load(spark, sf_dir, "orders").select("o_totalprice", "o_orderkey"), storage.scratch_path(spark)
+    keys = ["o_totalprice", "o_orderkey"]
+    found = r.inversions(r.sort(o, keys), keys, f"{path}/a"), r.inversions(o, keys, f"{path}/b") > 0
+    return spark.createDataFrame([found], "sorted_rows long, others boolean")
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="relata")
-    return f"{base}/relata-{uuid.uuid4().hex}"
+
+@_query("sort_rows", "SELECT o_totalprice, o_custkey FROM orders")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r.sort(r.project(tables.load(spark, sf_dir, "orders"), ["o_totalprice", "o_custkey"]), "(o_totalprice) AND (o_custkey)")
 
 
 @_query("heap_append", "SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey < 2")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, t = tables.load(spark, sf_dir, "nation"), storage.StoredTable.create(spark, _scratch(spark))
+    n, t = tables.load(spark, sf_dir, "nation"), storage.StoredTable.create(spark, storage.scratch_path(spark))
     t.append(n)
     t.append(r.select(n, "(n_regionkey < 2)"))
     return storage.StoredTable.open(spark, t.path).scan()
@@ -232,7 +230,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("sorted_bounded_scan", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 100.0 AND c_acctbal < 900.0")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = storage.StoredTable.create(spark, _scratch(spark), "sorted", "(c_acctbal)")
+    t = storage.StoredTable.create(spark, storage.scratch_path(spark), "sorted", "(c_acctbal)")
     t.append(r.project(tables.load(spark, sf_dir, "customer"), ["c_custkey", "c_acctbal"]))
     return t.bounded_scan("(c_acctbal > 100.0) AND (c_acctbal < 900.0)")
 
@@ -240,7 +238,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("sorted_insert", "SELECT n_nationkey, n_regionkey FROM nation")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = r.project(tables.load(spark, sf_dir, "nation"), ["n_nationkey", "n_regionkey"])
-    t = storage.StoredTable.create(spark, _scratch(spark), "sorted", ["n_regionkey", "n_nationkey"])
+    t = storage.StoredTable.create(spark, storage.scratch_path(spark), "sorted", ["n_regionkey", "n_nationkey"])
     t.append(r.select(n, "(n_nationkey > 11)"))
     t.append(r.select(n, "(n_nationkey < 12)"))
     return t.scan()
@@ -258,31 +256,84 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("text_round_trip", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, path = tables.load(spark, sf_dir, "supplier"), _scratch(spark)
-    s.select(F.concat(*[F.concat(F.col(c).cast("string"), F.lit("|")) for c in s.columns])).write.text(path)
-    return text.read_table(spark, path, s.schema)
+    s = tables.load(spark, sf_dir, "supplier")
+    return text.read_table(spark, _as_text(spark, s), s.schema)
+
+
+def _as_text(spark: SparkSession, df: DataFrame) -> str:
+    """Path of a text table with the rows of df."""
+    path = storage.scratch_path(spark) + "/text"
+    df.select(F.concat(*[F.concat(F.col(c).cast("string"), F.lit("|")) for c in df.columns])).write.text(path)
+    return path
+
 
+@_query("catalog_load", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = r.project(tables.load(spark, sf_dir, "nation"), ["n_nationkey", "n_name", "n_regionkey"])
+    found = catalog.parse(f"BEGIN\nnation\n{_as_text(spark, n)}\nn_nationkey Int\nn_name String\nn_regionkey Int\nEND\n")["nation"]
+    t = storage.StoredTable.create(spark, storage.scratch_path(spark), schema=found.schema)
+    t.load_text(found.file, found.schema)
+    return t.scan().select(F.col("n_nationkey").cast("long"), "n_name", F.col("n_regionkey").cast("long"))
+
+
+@_query("ddl_insert_select", "SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 0.0")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, path = r.project(tables.load(spark, sf_dir, "supplier"), ["s_suppkey", "s_name", "s_acctbal"]), storage.scratch_path(spark)
+    first = engine.Engine(spark, path)
+    first.execute("CREATE TABLE s (s_suppkey Int, s_name String, s_acctbal Double) AS SORTED ON s_suppkey")
+    first.execute("CREATE TABLE gone (a Int) AS HEAP")
+    first.execute(f"INSERT '{_as_text(spark, rows)}' INTO s")
+    first.execute("DROP TABLE gone")
+    second = engine.Engine(spark, path)  # knows the tables of the folder
+    second.execute("SET OUTPUT NONE")
+    return second.execute("SELECT t.s_suppkey, t.s_name FROM s AS t WHERE (t.s_acctbal > 0.0)").withColumn("s_suppkey", F.col("s_suppkey").cast("long"))
+
+
+@_query("print_format_double", "SELECT 's_suppkey: [' || s_suppkey || '], s_acctbal: [' || printf('%g', s_acctbal) || ']' AS line FROM supplier")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.printed_lines(r.project(tables.load(spark, sf_dir, "supplier"), ["s_suppkey", "s_acctbal"]))
 
-def _select(name: str, statement: str, sql: str, exact: tuple[str, ...] = ()) -> None:
-    """A SELECT, its join order chosen by estimates from fixed key counts."""
 
-    @_query(name, sql)
+@_query("join_left_first", "SELECT a.n_nationkey AS k, b.n_nationkey AS other FROM nation a JOIN nation b ON a.n_regionkey = b.n_nationkey WHERE a.n_nationkey < 20")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = tables.load(spark, sf_dir, "nation")
+    right = n.select("n_nationkey", F.col("n_nationkey").alias("b_key"))
+    joined = r.join(n.select("n_nationkey", "n_regionkey"), right, "(n_regionkey = b_key) AND (n_nationkey < 20)")
+    return joined.toDF("k", "region", "other", "b_key").select("k", "other")
+
+
+def _select(name: str, statement: str, same: str, exact: tuple[str, ...] = ()) -> None:
+    """A SELECT, its join order chosen by estimates from the tables' own counts."""
+
+    @_query(name, same)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = {n: df for n, df in tables.load_all(spark, sf_dir).items() if f"{n} AS" in statement}
         for t, c in (x.split(".") for x in exact):
             own[t] = own[t].withColumn(c, money(c))
-        out = planner.run(statement, own, _sizes(own))
+        out = planner.run(statement, own, _sizes(sf_dir, own, statement))
         return _dollars(out) if exact else out
 
 
-def _sizes(own: dict[str, DataFrame]) -> Statistics:
-    """Row counts from the tables' metadata would need a pass; the ratios of the benchmark do for ordering joins."""
+_MEASURED: dict[tuple[str, str], tuple[float, dict[str, float]]] = {}
+
+
+def _sizes(sf_dir: str, own: dict[str, DataFrame], statement: str) -> Statistics | None:
+    """Counts of the tables and of the attributes that a SELECT joins and filters by, measured once for each folder."""
+    parsed = sql.parse_select(statement)
+    if len(parsed.tables) < 2 or parsed.where is None:
+        return None  # nothing to order
+    wanted = {n.split(".")[-1] for n in parsed.where.names}
     out = Statistics()
-    for name, rows in (("region", 5), ("nation", 25), ("supplier", 100), ("customer", 1500), ("part", 2000), ("orders", 15000), ("lineitem", 60000), ("partsupp", 50000)):
-        if name in own:
-            out.add_relation(name, rows)
-            for c in own[name].columns:
-                out.add_attribute(name, c, {"n_regionkey": 5, "n_nationkey": 25, "s_nationkey": 25, "c_nationkey": 25, "ps_suppkey": 100, "ps_partkey": 2000}.get(c, rows))
+    for name, df in own.items():
+        columns = [c for c in df.columns if c in wanted]
+        rows, distinct = _MEASURED.get((sf_dir, name), (None, {}))
+        if rows is None or set(columns) - distinct.keys():
+            found = Statistics.from_tables({name: df.select(*columns)}).relations[name]
+            rows, distinct = found.tuples, distinct | found.distinct
+            _MEASURED[sf_dir, name] = rows, distinct
+        out.add_relation(name, rows)
+        for c in columns:
+            out.add_attribute(name, c, distinct[c])
     return out
 
 
@@ -313,6 +364,42 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(stats.estimate("(s_nationkey = n_nationkey)", ["supplier", "nation"]),)], "estimate double")
 
 
+def _estimate(name: str, made: str, names: tuple[str, ...], estimate: Callable[[Statistics], float]) -> None:
+    """An estimate from exact counts; `made` is its formula over counts in SQL."""
+
+    @_query(name, f"SELECT round({made}, 6) AS estimate")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = estimate(Statistics.from_tables({n: tables.load(spark, sf_dir, n) for n in names}, exact=True))
+        return spark.createDataFrame([(float(found),)], "estimate double").select(F.round("estimate", 6).alias("estimate"))
+
+
+def _n(table: str) -> str:
+    return f"(SELECT CAST(count(*) AS DOUBLE) FROM {table})"
+
+
+def _d(table: str, column: str) -> str:
+    return f"(SELECT CAST(count(DISTINCT {column}) AS DOUBLE) FROM {table})"
+
+
+def _after_apply(s: Statistics) -> float:
+    s.apply("(n_regionkey = r_regionkey)", ["nation", "region"])
+    return s.estimate("(n_nationkey = c_nationkey)", ["nation", "region", "customer"])
+
+
+def _of_copies(s: Statistics) -> float:
+    s.copy_relation("nation", "a")
+    s.copy_relation("nation", "b")
+    return s.estimate("(a.n_regionkey = b.n_regionkey)", ["a", "b"])
+
+
+_estimate("estimate_product", f"{_n('nation')} * {_n('region')}", ("nation", "region"), lambda s: s.estimate(None, ["nation", "region"]))
+_estimate("estimate_range_and_equal", f"{_n('customer')} / 3 / {_d('customer', 'c_nationkey')}", ("customer",), lambda s: s.estimate("(c_acctbal > 0.0) AND (c_nationkey = 3)", ["customer"]))
+_estimate("estimate_or_same", f"{_n('nation')} * least(1, 2 / {_d('nation', 'n_regionkey')})", ("nation",), lambda s: s.estimate("(n_regionkey = 1 OR n_regionkey = 2)", ["nation"]))
+_estimate("estimate_or_different", f"{_n('nation')} * (1 - (1 - 1 / {_d('nation', 'n_regionkey')}) * (1 - 1 / {_d('nation', 'n_nationkey')}))", ("nation",), lambda s: s.estimate("(n_regionkey = 1 OR n_nationkey = 2)", ["nation"]))
+_estimate("estimate_apply", f"{_n('nation')} * {_n('region')} / greatest({_d('nation', 'n_regionkey')}, {_d('region', 'r_regionkey')}) * {_n('customer')} / greatest({_d('nation', 'n_nationkey')}, {_d('customer', 'c_nationkey')})", ("nation", "region", "customer"), _after_apply)
+_estimate("estimate_copies", f"{_n('nation')} * {_n('nation')} / {_d('nation', 'n_regionkey')}", ("nation",), _of_copies)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -8,16 +8,34 @@ rows into a new version; the sidecar then names that version, so readers never s
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from relata.functions import cnf
 from relata.sources import text
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir; of this machine only where Spark runs in this process."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is unset: executors need a shared folder")
+        base = tempfile.mkdtemp(prefix="relata")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base}/relata-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(place)
+    fs.deleteOnExit(place)
+    return path
+
+
 @dataclass
 class StoredTable:
     spark: SparkSession
@@ -25,6 +43,7 @@ class StoredTable:
     kind: str  # heap or sorted
     keys: list[str]
     version: str
+    schema: T.StructType | None = None  # where it was declared
 
     # the sidecar is one line of text, read and written through Spark's file systems
 
@@ -37,15 +56,15 @@ class StoredTable:
     def _save(self) -> None:
         fs, place = self._file(self.spark, self.path)
         out = fs.create(place, True)
-        out.write(bytearray(json.dumps({"kind": self.kind, "keys": self.keys, "version": self.version}).encode()))
+        out.write(bytearray(json.dumps({"kind": self.kind, "keys": self.keys, "version": self.version, "schema": self.schema and self.schema.jsonValue()}).encode()))
         out.close()
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, kind: str = "heap", keys: list[str] | str = ()) -> StoredTable:
+    def create(cls, spark: SparkSession, path: str, kind: str = "heap", keys: list[str] | str = (), schema: T.StructType | None = None) -> StoredTable:
         keys = cnf.sort_keys(keys) if isinstance(keys, str) else list(keys)
         if kind not in ("heap", "sorted") or (kind == "sorted") != bool(keys):
             raise ValueError("a heap has no keys, a sorted table has some")
-        out = cls(spark, path, kind, keys, "")
+        out = cls(spark, path, kind, keys, "", schema)
         out._save()
         return out
 
@@ -55,10 +74,22 @@ class StoredTable:
         stream = fs.open(place)
         meta = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         stream.close()
-        return cls(spark, path, meta["kind"], meta["keys"], meta["version"])
+        schema = meta.get("schema")
+        return cls(spark, path, meta["kind"], meta["keys"], meta["version"], schema and T.StructType.fromJson(schema))
+
+    @classmethod
+    def exists(cls, spark: SparkSession, path: str) -> bool:
+        fs, place = cls._file(spark, path)
+        return fs.exists(place)
+
+    def drop(self) -> None:
+        fs, place = self._file(self.spark, self.path)
+        fs.delete(place.getParent(), True)
 
     def scan(self, predicate: str | None = None) -> DataFrame:
         """All rows, or those of a predicate, which is pushed to the reader."""
+        if not self.version and self.schema:
+            return self.spark.createDataFrame([], self.schema)
         if not self.version:
             raise FileNotFoundError(f"{self.path} has no rows yet")
         df = self.spark.read.parquet(f"{self.path}/{self.version}")

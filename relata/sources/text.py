@@ -52,6 +52,16 @@ def printed_lines(df: DataFrame) -> DataFrame:
     return df.select(F.concat_ws(", ", *parts).alias("line"))
 
 
+def print_rows(df: DataFrame) -> int:
+    """Prints all rows as printed_lines, a partition at a time, then their number, which it returns."""
+    n = 0
+    for row in printed_lines(df).toLocalIterator():
+        print(row.line)
+        n += 1
+    print(f"{n} rows")
+    return n
+
+
 def _six_digits(c: Column) -> Column:
     """As a C++ stream prints doubles by default."""
     size = F.abs(c)

@@ -86,3 +86,64 @@ def test_streaming(spark, sf, tmp_path):
     q = stream.writeStream.format("memory").queryName("followed").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination()
     assert spark.table("followed").count() == 5
+
+
+def test_following_stored_tables(spark, sf, tmp_path):
+    from relata.streaming import follow
+
+    n = tables.load(spark, sf, "nation").select("n_nationkey", "n_regionkey")
+    heap = storage.StoredTable.create(spark, str(tmp_path / "heap"))
+    with pytest.raises(FileNotFoundError):
+        follow(spark, heap.path)
+    heap.append(r.select(n, "(n_regionkey < 2)"))
+    stream = r.select(follow(spark, heap.path), "(n_regionkey = 1)")
+
+    def run() -> int:
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+        q.awaitTermination(120)
+        return spark.read.parquet(str(tmp_path / "out")).count()
+
+    assert run() == 5
+    heap.append(n)
+    assert run() == 10  # only what was appended since
+    ordered = storage.StoredTable.create(spark, str(tmp_path / "sorted"), "sorted", ["n_nationkey"])
+    ordered.append(n)
+    with pytest.raises(ValueError):
+        follow(spark, ordered.path)
+
+
+def test_places_and_inversions(spark, tmp_path):
+    df = spark.createDataFrame([(k * 37 % 101,) for k in range(101)], "k int").repartition(5)
+    ordered = r.sort(df, ["k"])
+    assert sorted((x.place, x.k) for x in r.places(ordered, str(tmp_path / "a")).collect()) == [(k + 1, k) for k in range(101)]
+    assert r.inversions(ordered, ["k"], str(tmp_path / "b")) == 0
+    assert r.inversions(df, ["k"], str(tmp_path / "c")) > 0
+    edge = spark.createDataFrame([(5,), (6,), (1,), (2,)], "k int").coalesce(1).unionByName(spark.createDataFrame([(0,), (9,)], "k int").coalesce(1))
+    assert r.inversions(edge, ["k"], str(tmp_path / "d")) == 2  # one within, one between partitions
+
+
+def test_bulk_loads_lie_in_order(spark, tmp_path):
+    (tmp_path / "r.tbl").write_text("".join(f"{k * 7 % 50}|n{k}|{k}.5|\n" for k in range(50)))
+    schema = catalog.parse(CATALOG)["region"].schema
+    t = storage.StoredTable.create(spark, str(tmp_path / "t"), "sorted", ["r_regionkey"])
+    t.load_text(str(tmp_path / "r.tbl"), schema)
+    files = sorted((tmp_path / "t" / t.version).glob("part-*.parquet"))
+    keys = [k for f in files for k in spark.read.parquet(str(f)).toPandas().r_regionkey]
+    assert keys == sorted(keys) and len(keys) == 50
+
+
+def test_all_answers_are_printed(spark, capsys):
+    assert text.print_rows(spark.range(37).selectExpr("CAST(id AS INT) AS k")) == 37
+    out = capsys.readouterr().out.splitlines()
+    assert len(out) == 38
+    assert out[-1] == "37 rows"
+    assert sorted(out[:-1]) == sorted(f"k: [{k}]" for k in range(37))
+
+
+def test_joins_bind_names_left_first(spark):
+    a = spark.createDataFrame([(1, 10), (2, 20)], "k int, x int")
+    b = spark.createDataFrame([(10, 1, 7), (20, 3, 8)], "y int, k int, x int")
+    got = r.join(a, b, "(x = y) AND (k < 2)")
+    assert got.columns == ["k", "x", "y", "k", "x"]
+    assert [tuple(x) for x in got.collect()] == [(1, 10, 10, 1, 7)]
+    assert [tuple(x) for x in r.join(a, b, "(x = y)", ["k", "y"]).orderBy("y").collect()] == [(1, 10), (2, 20)]
