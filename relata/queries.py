@@ -273,7 +273,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = catalog.parse(f"BEGIN\nnation\n{_as_text(spark, n)}\nn_nationkey Int\nn_name String\nn_regionkey Int\nEND\n")["nation"]
     t = storage.StoredTable.create(spark, storage.scratch_path(spark), schema=found.schema)
     t.load_text(found.file, found.schema)
-    return t.scan().select(F.col("n_nationkey").cast("long"), "n_name", F.col("n_regionkey").cast("long"))
+    return t.scan()
 
 
 @_query("ddl_insert_select", "SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 0.0")
