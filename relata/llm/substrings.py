@@ -44,6 +44,8 @@ PLACES = LENGTH - GRAM + 1
 HOT = 16
 #: Runs, or strings, that are sent at once.
 CHUNK = 1 << 20
+#: Buckets of a partition.
+SPREAD = 8
 #: A mark instead of contexts, where a run's `lo` (less than PLACES) stands.
 _MARK = 255
 _AT_BITS = np.uint64((1 << 36) - 1)
@@ -260,7 +262,7 @@ def _send_contexts(joined: DataFrame, buckets: int) -> DataFrame:
     def strings(found: list[dict[str, np.ndarray]]) -> list[tuple]:
         e, known = _firsts({k: np.concatenate([f[k] for f in found]) for k in _STRING})
         rows = [(d % buckets, _KNOWN, d, p) for d, p in known.items()]
-        for bucket, k in dealt(((e["ah"] + e["sh"]) % np.uint64(buckets)).astype(np.int64)):
+        for bucket, k in dealt(((e["ah"] + e["sh"]) % np.uint64(buckets // SPREAD)).astype(np.int64) * SPREAD):  # few and small, so in larger pieces
             rows.append((bucket, -len(k), None, _pack(**{c: v[k] for c, v in e.items()})))
         return rows
 
@@ -418,7 +420,7 @@ def remove_repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     The bytes kept may end inside a character, so they are binary.
     """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 8 * partitions
+    buckets = SPREAD * partitions
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL_ID)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     dealt = lambda sent: sent.repartition("bucket").sortWithinPartitions("bucket")
     flags = cut(_by_doc(_flag_runs(dealt(_send_runs(own, buckets))), "whole", "part", "hot"))
