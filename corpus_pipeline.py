@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from relata.llm import bpe, decontaminate, minhash, pii, quality
 from relata.llm.queries import table, tokenizer_path
-from relata.llm.store import cut
+from relata.llm.store import cut, free, last_only
 
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -59,10 +59,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
+    """All stages over documents, each written to the shared folder and read again; what a stage no longer needs is deleted."""
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = cut(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        before = docs
+        with last_only(spark):
+            docs = cut(stage(spark, before, sf_dir))
+        free(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
