@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -125,10 +126,28 @@ def strings(column: pa.Array, rows: int = 256) -> Iterator[str]:
         yield from pc.fill_null(column.slice(at, rows), "").to_pylist()
 
 
+@cache
+def _trim() -> Callable[[int], int]:
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, done: Callable[[], None] | None = None) -> DataFrame:  # noqa: ANN001
+    """df.mapInArrow(run), after which a worker gives its free memory back: workers outlive their tasks. done() comes before."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        if done:
+            done()
+        pa.default_memory_pool().release_unused()
+        _trim()(0)
+
+    return df.mapInArrow(whole, schema)
+
+
 def add_columns(df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, pa.Array]], ddl: str, keep: list[str] | None = None, done: Callable[[], None] | None = None) -> DataFrame:
     """df (or its columns `keep`) with the columns `ddl` that make() gives for a batch; they replace others of their name.
 
-    done() is called at a task's end; workers outlive their tasks.
+    done() is called at a task's end.
     """
     spark = df.sparkSession
     new = spark.createDataFrame([], ddl).schema
@@ -139,7 +158,5 @@ def add_columns(df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, pa.Arr
         for batch in batches:
             made = make(batch)
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(f.name)) for f in old] + [made[f.name] for f in new.fields], names=schema.names)
-        if done:
-            done()
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema, done)

@@ -35,7 +35,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relata.llm.arrow import LETTERS, LOWER, add_columns, find_words, strings, text_blocks
+from relata.llm.arrow import LETTERS, LOWER, add_columns, find_words, map_arrow, strings, text_blocks
 from relata.llm.store import own_dir, ship_file
 
 LEXICON_WORDS = 50_000
@@ -300,7 +300,7 @@ def word_counts(docs: DataFrame, text: str = "text", most: int = SUMMARY) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         summary = Summary(most)
         for batch in batches:
-            for _, _, data, offsets in text_blocks(batch.column(0), 4 << 20):
+            for _, _, data, offsets in text_blocks(batch.column(0)):
                 w = find_words(data, offsets, LETTERS)
                 hashes, first, counts = np.unique(w.hash, return_index=True, return_counts=True)
                 low = LOWER[data].tobytes()
@@ -310,7 +310,7 @@ def word_counts(docs: DataFrame, text: str = "text", most: int = SUMMARY) -> Dat
         summary.prune()
         yield pa.RecordBatch.from_arrays([pa.array(summary.word.tolist(), pa.binary()), pa.array(summary.count)], ["word", "n"])
 
-    return docs.select(text).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return map_arrow(docs.select(text), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def ship_lexicon(docs: DataFrame, path: str, text: str = "text", size: int = LEXICON_WORDS) -> tuple[str, str]:

@@ -31,7 +31,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relata.llm.arrow import LETTERS, Words, add_columns, find_words, mix, row_blocks, text_blocks, text_bytes
+from relata.llm.arrow import LETTERS, Words, add_columns, find_words, map_arrow, mix, row_blocks, text_blocks, text_bytes
 from relata.llm.store import cut, free, own_dir, ship_file
 
 WINDOW = 13
@@ -305,7 +305,7 @@ def _item_words(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
                     if out:
                         yield pa.RecordBatch.from_pylist(out, pa.schema([("n", pa.int32()), ("item_id", pa.int64()), ("first", pa.int64()), ("words", pa.binary())]))
 
-    return benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).mapInArrow(run, "n int, item_id long, first long, words binary")
+    return map_arrow(benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")), run, "n int, item_id long, first long, words binary")
 
 
 def ship_queries(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> list[str]:

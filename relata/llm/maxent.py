@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relata.llm.arrow import SPACED, add_columns, find_words, mix, text_blocks
+from relata.llm.arrow import SPACED, add_columns, find_words, map_arrow, mix, text_blocks
 from relata.llm.store import cut
 
 RARE_SHARE = 1_000_000
@@ -132,7 +132,7 @@ def word_counts(texts: DataFrame, buckets: int) -> DataFrame:
             k, c = _summed(keys, counts)
             yield _rows([(bucket, k.tobytes() + c.tobytes(), len(k), int(c.sum()))], ["bucket", "payload", "words", "tokens"], [pa.int64(), pa.binary(), pa.int64(), pa.int64()])
 
-    return texts.mapInArrow(send, "bucket long, payload binary").repartition("bucket").mapInArrow(gather, "bucket long, payload binary, words long, tokens long")
+    return map_arrow(map_arrow(texts, send, "bucket long, payload binary").repartition("bucket"), gather, "bucket long, payload binary, words long, tokens long")
 
 
 def _unpacked(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +149,7 @@ def _frequent(counts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
                 k, c = _unpacked(payload)
                 yield _rows([(k[c >= least].tobytes() + c[c >= least].tobytes(),)], ["payload"], [pa.binary()])
 
-    found = [_unpacked(r.payload) for r in counts.select("payload").mapInArrow(run, "payload binary").collect()]
+    found = [_unpacked(r.payload) for r in map_arrow(counts.select("payload"), run, "payload binary").collect()]
     k = np.concatenate([np.zeros(0, np.uint64), *(a for a, _ in found)])
     c = np.concatenate([np.zeros(0, np.int64), *(b for _, b in found)])
     order = np.lexsort((k, -c))[:VOCABULARY]
@@ -187,7 +187,7 @@ def _sum_cells(texts: DataFrame, table: WordTable, size: int, cells: Counter) ->
         yield _rows([(b, t.tobytes()) for b, t in own.items()], ["bucket", "payload"], [pa.int64(), pa.binary()])
 
     out = np.zeros(16 * width, np.int64)
-    for r in texts.mapInArrow(send, "bucket long, payload binary").repartition(16, "bucket").mapInArrow(gather, "bucket long, payload binary").collect():
+    for r in map_arrow(map_arrow(texts, send, "bucket long, payload binary").repartition(16, "bucket"), gather, "bucket long, payload binary").collect():
         out[r.bucket * width : (r.bucket + 1) * width] = np.frombuffer(r.payload, np.int64)
     return out[:size]
 
@@ -298,7 +298,7 @@ def train(spark, after: np.ndarray) -> np.ndarray:  # noqa: ANN001
                 yield _rows([(some.tobytes(), out[some].tobytes())], ["rows", "values"], [pa.binary(), pa.binary()])
 
             g = np.zeros_like(weights)
-            for r in rows.mapInArrow(gradient, "rows binary, values binary").collect():  # bounded by the model's size
+            for r in map_arrow(rows, gradient, "rows binary, values binary").collect():  # bounded by the model's size
                 g[np.frombuffer(r.rows, np.int64)] += np.frombuffer(r["values"], np.float32).reshape(-1, CLASSES)
             weights = weights + (RATE * (g - RIDGE * weights) / (mass + RIDGE)[:, None]).astype(np.float32)
             weights[mass == 0] = 0
@@ -394,7 +394,7 @@ def _send_rare(docs: DataFrame, model: Model, text: str, buckets: int) -> DataFr
             h, key, bucket = h[new], key[new], bucket[new]
             yield _rows([(int(bucket[a]), 1, h[a:b].tobytes() + key[a:b].tobytes() + times[a:b].tobytes()) for a, b in _split(bucket)], ["bucket", "kind", "payload"], [pa.int64(), pa.int32(), pa.binary()])
 
-    return docs.select("__key", text).mapInArrow(run, _DEALT)
+    return map_arrow(docs.select("__key", text), run, _DEALT)
 
 
 _SUMS = {"key": np.int64, "times": np.int64, "known": np.int64, "base": np.float64, "model": np.float64}
@@ -451,8 +451,8 @@ def _score_rare(dealt: DataFrame, model: Model, buckets: int) -> DataFrame:
         added = [np.bincount(inverse, v, len(keys)).astype(v.dtype) for v in values]
         yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, added)], ["__key", *(f"__r_{c}" for c in list(_SUMS)[1:])])
 
-    sums = dealt.mapInArrow(run, "bucket long, payload binary").repartition("bucket")
-    return sums.mapInArrow(add, "__key long, __r_times long, __r_known long, __r_base double, __r_model double")
+    sums = map_arrow(dealt, run, "bucket long, payload binary").repartition("bucket")
+    return map_arrow(sums, add, "__key long, __r_times long, __r_known long, __r_base double, __r_model double")
 
 
 def score_documents(docs: DataFrame, may_learn: Column, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

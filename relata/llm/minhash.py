@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relata.llm.arrow import add_columns, mix
+from relata.llm.arrow import add_columns, map_arrow, mix
 from relata.llm.components import components
 from relata.llm.shingles import jaccard_at_least, set_list, sets_of
-from relata.llm.store import cut, free
+from relata.llm.store import cut, free, small_batches
 
 PERCENT = 75
 SIGNATURE = 64
@@ -42,8 +42,8 @@ SMALL = 16
 #: About so many classes and shingles are in a part of a family.
 PART_CLASSES = 512
 PART_SHINGLES = 250_000
-#: Pairs of texts that are confirmed at once.
-CONFIRM_ROWS = 512
+#: Pairs of texts that are confirmed at once; rows that workers get at once.
+CONFIRM_ROWS, BATCH_ROWS = 512, 2048
 #: A shingle in so many sets of a block is a column of the dense product.
 DENSE = 32
 #: Equal places that connect a class with its node's pivot in a family.
@@ -117,7 +117,7 @@ def _branch(df: DataFrame, levels: int) -> DataFrame:
                 row = row[parent]
             yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(cid[row])], ["node", "cid"])
 
-    return df.select("cid", "sig", *["node"] * rooted).mapInArrow(run, "node long, cid long")
+    return map_arrow(df.select("cid", "sig", *["node"] * rooted), run, "node long, cid long")
 
 
 def _crowded(entries: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, least: int = LEAST_EQUAL) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep)), pa.array(equal[keep].astype(np.int32))], ["a", "b", "equal"])
 
     left = pairs.join(sig.select(F.col("cid").alias("a"), F.col("sig").alias("sa")), "a")
-    return left.join(sig.select(F.col("cid").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, equal int")
+    return map_arrow(left.join(sig.select(F.col("cid").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb"), run, "a long, b long, equal int")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -167,7 +167,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["a", "b"])
 
     left = pairs.select("a", "b").join(texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a")
-    return left.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return map_arrow(left.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb"), run, "a long, b long")
 
 
 def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -282,6 +282,15 @@ def _compare_blocks(blocks: DataFrame, texts: DataFrame, percent: int) -> DataFr
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs."""
+    with small_batches(docs.sparkSession, BATCH_ROWS):  # some have two texts a row
+        signed, classes, found = _classes_and_components(docs, text, doc_id, percent)
+    named = classes.drop("sig").join(found.select(F.col("id").alias("cid"), "component"), "cid", "left").select("n_shingles", "fp0", "fp1", F.coalesce("component", "cid").alias("component_id"))
+    out = signed.drop("sig").join(named, ["n_shingles", "fp0", "fp1"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _classes_and_components(docs: DataFrame, text: str, doc_id: str, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What signatures() gives, the classes (n_shingles, fp0, fp1, cid, sig), and the (id, component) of those that are linked."""
     signed = cut(signatures(docs, text, doc_id))
     classes = cut(signed.where("n_shingles > 0").groupBy("n_shingles", "fp0", "fp1").agg(F.min("doc_id").alias("cid"), F.min("sig").alias("sig")))
     own = classes.where("cid IS NOT NULL").select("cid", "sig", "n_shingles")
@@ -303,9 +312,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         links = links.unionByName(cut(_compare_blocks(blocks, texts, percent)))
         free(found, blocks, texts)
         found = components(links)
-    named = classes.drop("sig").join(found.select(F.col("id").alias("cid"), "component"), "cid", "left").select("n_shingles", "fp0", "fp1", F.coalesce("component", "cid").alias("component_id"))
-    out = signed.drop("sig").join(named, ["n_shingles", "fp0", "fp1"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return signed, classes, found
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

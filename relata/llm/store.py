@@ -68,6 +68,18 @@ def ship_file(spark: SparkSession, path: str) -> str:
     return name
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within, workers get their rows in Arrow batches of at most so many."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 _MADE: list[str] = []
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relata.llm.arrow import add_columns, mix, powers, prefix_sums, slices_hash, text_blocks
+from relata.llm.arrow import add_columns, map_arrow, mix, powers, prefix_sums, slices_hash, text_blocks
 from relata.llm.deepshallow import neighbours_common, order_rows
 from relata.llm.store import cut
 
@@ -192,7 +192,7 @@ def _send_runs(docs: DataFrame, buckets: int) -> DataFrame:
         if found:
             yield sent()
 
-    return docs.select("doc", "text").mapInArrow(run, _SENT)
+    return map_arrow(docs.select("doc", "text"), run, _SENT)
 
 
 def _flag_runs(sent: DataFrame) -> DataFrame:
@@ -223,7 +223,7 @@ def _flag_runs(sent: DataFrame) -> DataFrame:
             if out:
                 yield _batch(out, _FLAGS)
 
-    return sent.mapInArrow(run, _FLAGS)
+    return map_arrow(sent, run, _FLAGS)
 
 
 def _by_doc(flags: DataFrame, *columns: str) -> DataFrame:
@@ -306,7 +306,7 @@ def _send_contexts(joined: DataFrame, buckets: int) -> DataFrame:
             if rows:
                 yield _batch(rows, _SENT)
 
-    return joined.select("doc", "text", "part", "hot").mapInArrow(run, _SENT)
+    return map_arrow(joined.select("doc", "text", "part", "hot"), run, _SENT)
 
 
 def _classes(common: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
@@ -381,7 +381,7 @@ def _compare(sent: DataFrame) -> DataFrame:
             if out:
                 yield _batch(out, "doc long, spans binary")
 
-    return sent.mapInArrow(run, "doc long, spans binary")
+    return map_arrow(sent, run, "doc long, spans binary")
 
 
 def _apply(joined: DataFrame, keep_text: bool) -> DataFrame:

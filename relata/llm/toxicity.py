@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relata.llm.arrow import LETTERS, LOWER, Words, add_columns, find_words, prefix_sums, slices_hash, text_blocks
+from relata.llm.arrow import LETTERS, LOWER, Words, add_columns, find_words, map_arrow, prefix_sums, slices_hash, text_blocks
 from relata.llm.store import cut
 
 #: Most labelled rows of either class that are learnt from.
@@ -151,7 +151,7 @@ def _counts(rows: DataFrame) -> DataFrame:
                 n0 = np.bincount(inverse, 1 - own, len(first)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([*(pa.array(h[first].view(np.int64)) for h in levels), pa.array(n1), pa.array(n0)], ["h0", "h1", "h2", "h3", "n1", "n0"])
 
-    return rows.select("text", "toxic").mapInArrow(run, "h0 long, h1 long, h2 long, h3 long, n1 long, n0 long").groupBy("h0", "h1", "h2", "h3").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    return map_arrow(rows.select("text", "toxic"), run, "h0 long, h1 long, h2 long, h3 long, n1 long, n0 long").groupBy("h0", "h1", "h2", "h3").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
 
 
 def learn_lexicon(rows: DataFrame) -> Lexicon:
@@ -257,7 +257,7 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, text: str = "te
 
         names = [c.split() for c in ddl.split(", ")]
         schema = pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}[t]) for n, t in names])
-        return checked.mapInArrow(run, ddl)
+        return map_arrow(checked, run, ddl)
 
     def binned(toxic: int, n: int, at: np.ndarray, score: np.ndarray) -> list[dict]:
         bins, times = np.unique(np.round(score / BIN).astype(np.int64), return_counts=True)
