@@ -312,6 +312,7 @@ def _classes_and_components(docs: DataFrame, text: str, doc_id: str, percent: in
         links = links.unionByName(cut(_compare_blocks(blocks, texts, percent)))
         free(found, blocks, texts)
         found = components(links)
+    free(nodes)
     return signed, classes, found
 
 
