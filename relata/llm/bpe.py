@@ -298,7 +298,7 @@ def word_counts(docs: DataFrame, text: str = "text", most: int = SUMMARY) -> Dat
     """(word, n): the frequent runs of letters of all texts, A-Z lower-cased; binary, as UTF-8."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        summary = Summary(most)
+        summary, found, size = Summary(most), [], 0
         for batch in batches:
             for _, _, data, offsets in text_blocks(batch.column(0)):
                 w = find_words(data, offsets, LETTERS)
@@ -306,7 +306,13 @@ def word_counts(docs: DataFrame, text: str = "text", most: int = SUMMARY) -> Dat
                 low = LOWER[data].tobytes()
                 words = np.empty(len(first), object)
                 words[:] = [low[a:b] for a, b in zip(w.start[first].tolist(), w.end[first].tolist())]
-                summary.add(hashes, counts, words)
+                found.append((hashes, counts, words))
+                size += len(first)
+                if size > 2 * most:  # each merge sorts the whole summary
+                    summary.add(*map(np.concatenate, zip(*found)))
+                    found, size = [], 0
+        if found:
+            summary.add(*map(np.concatenate, zip(*found)))
         summary.prune()
         yield pa.RecordBatch.from_arrays([pa.array(summary.word.tolist(), pa.binary()), pa.array(summary.count)], ["word", "n"])
 
